@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_repetition, op4_bpe, op7_token_counts, op10_content_sort
+from . import op1_repetition, op4_bpe, op6_simhash, op7_token_counts, op10_content_sort
 from .common import tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_bpe.round_trip(_docs(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_simhash.near_duplicates(_docs(spark, sf_dir))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_token_counts.token_counts(_docs(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
@@ -35,7 +39,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition_rules, op4_bpe_round_trip, op7_token_count, op10_exact_dedup)
+    f.__name__: f for f in (op1_repetition_rules, op4_bpe_round_trip, op6_simhash_components, op7_token_count, op10_exact_dedup)
 }
 
 _LONG = op1_repetition.MAX_REPEAT_WORDS + 1
