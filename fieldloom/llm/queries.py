@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op1_repetition, op4_bpe, op6_simhash, op7_token_counts, op10_content_sort
+from . import op1_repetition, op4_bpe, op6_simhash, op7_token_counts, op8_chat, op9_mixing, op10_content_sort
 from .common import tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,12 +35,27 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_token_counts.token_counts(_docs(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
 
+#: A conversation whose texts look like control strings.
+HOSTILE_ID, HOSTILE_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hostile = spark.range(2).select(F.lit(HOSTILE_ID).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(HOSTILE_TEXT))
+    turns = turns.union(hostile).withColumn("parts", op8_chat.text_parts(F.col("text")))
+    return op8_chat.digests(op8_chat.format_chats(turns))
+
+
+def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mixing.mix(_docs(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_content_sort.exact_groups(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition_rules, op4_bpe_round_trip, op6_simhash_components, op7_token_count, op10_exact_dedup)
+    f.__name__: f for f in (op1_repetition_rules, op4_bpe_round_trip, op6_simhash_components, op7_token_count, op8_chat_format, op9_curriculum_mix, op10_exact_dedup)
 }
 
 _LONG = op1_repetition.MAX_REPEAT_WORDS + 1
@@ -57,6 +73,22 @@ def _repeated(key: str, size: int) -> str:
     ), (SELECT unnest(range({size})) AS k) GROUP BY doc_id"""
 
 
+
+
+def _inverse_sql(knots: tuple[tuple[float, float], ...]) -> str:
+    out = ""
+    for t0, w0, slope, before, total in op9_mixing.segments(knots):
+        due = f"greatest(share * {total}::DOUBLE - {before}::DOUBLE, 0.0::DOUBLE)"
+        time = f"CASE WHEN {due} > 0 THEN {t0}::DOUBLE + 2.0::DOUBLE * {due} / ({w0}::DOUBLE + sqrt({w0 * w0}::DOUBLE + {2.0 * slope}::DOUBLE * {due})) ELSE {t0}::DOUBLE END"
+        out = time if not out else f"CASE WHEN share * {total}::DOUBLE >= {before}::DOUBLE THEN {time} ELSE {out} END"
+    return f"least({out}, 1.0::DOUBLE)"
+
+
+def _weight_sql() -> str:
+    n = len(op9_mixing.WEIGHTS)
+    return f"CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {n} " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(op9_mixing.WEIGHTS)) + " END"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_repetition_rules": rf"""
 WITH words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
@@ -87,6 +119,45 @@ base AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed,
     NOT base_failed AND 100 * covered_words <= {op1_repetition.MAX_COVERED_PERCENT} * n_words AND NOT too_long AS kept
 FROM judged""",
+    "op8_chat_format": r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), g AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(length(role || text) + length(regexp_replace(role || text, '[^\\<]', '', 'g')) + 20) AS formatted_chars
+    FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g""",
+    "op9_curriculum_mix": rf"""
+WITH x AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, {_weight_sql()} AS weight FROM x GROUP BY source
+), a AS (
+    SELECT *, {op9_mixing.CEILING} * source_size AS most, sum(source_size) OVER ()::BIGINT AS total FROM s
+), b AS (
+    SELECT *, most / weight <= (total - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled
+    FROM a WINDOW o AS (ORDER BY most / weight, source NULLS LAST)
+), c AS (
+    SELECT *, CASE WHEN filled THEN most::DOUBLE ELSE weight * (total - coalesce(sum(CASE WHEN filled THEN most END) OVER (), 0))::DOUBLE
+            / sum(CASE WHEN NOT filled THEN weight END) OVER () END AS target FROM b
+), d AS (
+    SELECT x.*, c.source_size, c.weight, c.target, round(c.target)::BIGINT AS due,
+        coalesce(sum(x.size) OVER (PARTITION BY x.source ORDER BY x.key, x.doc_id, x.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM x JOIN c ON x.source IS NOT DISTINCT FROM c.source
+), e AS (SELECT *, CASE WHEN source_size > 0 THEN due // source_size ELSE 0 END AS passes FROM d),
+f AS (SELECT *, least(greatest(due - passes * source_size - before, 0), size)::BIGINT AS last FROM e),
+g AS (
+    SELECT *, passes * size + last AS taken, CASE WHEN size > 0 THEN passes + CASE WHEN last > 0 THEN 1 ELSE 0 END ELSE 0 END AS copies,
+        (before::DOUBLE + CASE WHEN passes > 0 THEN size ELSE last END / 2.0::DOUBLE) / due AS share
+    FROM f
+)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, copies::BIGINT AS copies, CASE WHEN copies > 0 THEN CASE
+    {" ".join(f"WHEN weight = {w} THEN {_inverse_sql(k)}" for w, k in op9_mixing.SCHEDULE.items())} END END AS position
+FROM g""",
     "op10_exact_dedup": r"""
 WITH x AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
