@@ -129,7 +129,7 @@ def materialise(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: in
     x = x.withColumn("cut", (F.col("nth") == F.col("passes")) & (F.col("last") < F.col("size")))
     text = F.col("row.text")
     single = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-    x = x.withColumn("new_text", F.when(F.col("cut"), F.substring_index(single, F.lit(" "), F.col("last").cast("int"))).otherwise(text))
+    x = x.withColumn("new_text", F.when(F.col("cut"), F.call_function("substring_index", single, F.lit(" "), F.col("last").cast("int"))).otherwise(text))
     columns = []
     for c in docs.columns:
         value = F.col("row").getField(c)
