@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_repetition, op4_bpe, op6_simhash, op7_token_counts, op8_chat, op9_mixing, op10_content_sort
-from .common import tokenizer_path
+from . import op1_repetition, op2_training_order, op3_link_graph, op4_bpe, op6_simhash, op7_token_counts, op8_chat, op9_mixing, op10_content_sort
+from .bpe import PRE_TOKEN
+from .common import shared_dir, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +24,19 @@ def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_repetition.quality(_docs(spark, sf_dir)).select(*columns)
 
 
+def op2_training_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "shards")
+    pattern = PRE_TOKEN.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S")
+    op2_training_order.materialise(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), pattern, path)
+    read = op2_training_order.read_slots(spark, path)
+    return read.select("slot", "doc_id", "seq", "n_tokens", F.xxhash64("ids").alias("ids_hash"))
+
+
+def op3_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = op3_link_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_bpe.round_trip(_docs(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
@@ -55,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition_rules, op4_bpe_round_trip, op6_simhash_components, op7_token_count, op8_chat_format, op9_curriculum_mix, op10_exact_dedup)
+    f.__name__: f for f in (op1_repetition_rules, op2_training_slots, op3_link_trust, op4_bpe_round_trip, op6_simhash_components, op7_token_count, op8_chat_format, op9_curriculum_mix, op10_exact_dedup)
 }
 
 _LONG = op1_repetition.MAX_REPEAT_WORDS + 1
