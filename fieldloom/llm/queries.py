@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_repetition, op2_training_order, op3_link_graph, op4_bpe, op6_simhash, op7_token_counts, op8_chat, op9_mixing, op10_content_sort
+from . import op1_repetition, op2_training_order, op3_link_graph, op4_bpe, op5_pii, op6_simhash, op7_token_counts, op8_chat, op9_mixing, op10_content_sort
 from .bpe import PRE_TOKEN
 from .common import shared_dir, tokenizer_path
 
@@ -41,6 +41,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_bpe.round_trip(_docs(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_pii.detect(_docs(spark, sf_dir))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -69,7 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition_rules, op2_training_slots, op3_link_trust, op4_bpe_round_trip, op6_simhash_components, op7_token_count, op8_chat_format, op9_curriculum_mix, op10_exact_dedup)
+    f.__name__: f for f in (op1_repetition_rules, op2_training_slots, op3_link_trust, op4_bpe_round_trip, op5_personal_data, op6_simhash_components, op7_token_count, op8_chat_format, op9_curriculum_mix, op10_exact_dedup)
 }
 
 _LONG = op1_repetition.MAX_REPEAT_WORDS + 1
