@@ -6,6 +6,7 @@ compiles to one expression, so that extraction is a projection: no shuffle, no P
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -48,8 +49,6 @@ RULES = {
 }
 
 _RUT_TOKEN = r"\b(?:\d{1,3}(?:[.\s]\d{3}){1,3}\s*[-—]\s*[\dkK]|\d{7,9}\s*[-—]\s*[\dkK])\b"
-#: Group 1: up to RUT_CONTEXT characters before the token, found by a look-behind that captures; group 2: the token.
-_RUT_WITH_CONTEXT = rf"(?sU)(?=\d)(?<=(^.{{0,{RUT_CONTEXT - 1}}}|.{{{RUT_CONTEXT}}}))({_RUT_TOKEN})"
 PERSON_HINTS = ("cedula", "c.i", "carnet", "rep. legal", "rep legal", "representante")
 COMPANY_HINTS = ("rut emp", "rut empresa", "r.u.t", "rut")
 
@@ -68,26 +67,42 @@ def choose(found: Column, canon: Callable[[Column], Column], own: str | None = N
     return F.get(F.filter(forms, lambda v: v.isNotNull() & (v != "") & (text.lax(v) != same)), 0)
 
 
-def classified_ruts(x: Column) -> Column:
-    """struct(company, person): tokens by what stands before them; person hints are looked for first."""
-    both = F.arrays_zip(F.regexp_extract_all(x, F.lit(_RUT_WITH_CONTEXT), F.lit(1)).alias("context"), F.regexp_extract_all(x, F.lit(_RUT_WITH_CONTEXT), F.lit(2)).alias("token"))
-    near = F.transform(both, lambda p: F.struct(F.lower(text.strip_accents(p["context"])).alias("context"), p["token"].alias("token")))
+def rut_tokens(x: Column) -> Column:
+    """array of struct(kind: company, person or null; token), in order, by what stands in the RUT_CONTEXT characters before a token;
+    person hints are looked for first. Positions come from the lengths of the tokens and of what lies between them."""
+    between = F.split(x, f"(?U){_RUT_TOKEN}")
+    pairs = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(x, F.lit(f"(?U){_RUT_TOKEN}"), F.lit(0)).alias("token"))
+    empty = F.expr("CAST(array() AS array<struct<start: int, token: string>>)")
 
-    def hint(p: Column, hints: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for h in hints:
-            out = out | p["context"].contains(h)
-        return out
+    def place(seen: Column, p: Column) -> Column:
+        start = seen["end"] + F.length(p["gap"])
+        return F.struct((start + F.length(p["token"])).alias("end"), F.concat(seen["placed"], F.array(F.struct(start.alias("start"), p["token"].alias("token")))).alias("placed"))
 
-    person = F.filter(near, lambda p: hint(p, PERSON_HINTS))
-    company = F.filter(near, lambda p: ~hint(p, PERSON_HINTS) & hint(p, COMPANY_HINTS))
-    return F.struct(F.transform(company, lambda p: p["token"]).alias("company"), F.transform(person, lambda p: p["token"]).alias("person"))
+    # One pass over the pairs: what a lambda captures would be computed again for every element.
+    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("end"), empty.alias("placed")), place, lambda seen: seen["placed"])
+
+    def classify(p: Column) -> Column:
+        size = F.least(p["start"], F.lit(RUT_CONTEXT))
+        near = F.lower(text.strip_accents(F.substr(x, p["start"] - size + 1, size)))
+        kind = F.when(near.rlike(_hint(PERSON_HINTS)), "person").when(near.rlike(_hint(COMPANY_HINTS)), "company")
+        return F.struct(kind.alias("kind"), p["token"].alias("token"))
+
+    return F.transform(F.filter(placed, lambda p: p["token"].isNotNull()), classify)
+
+
+def _hint(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+def ruts_of(tokens: Column, kind: str) -> Column:
+    """Tokens of a kind, in order."""
+    return F.transform(F.filter(tokens, lambda p: p["kind"] == kind), lambda p: p["token"])
 
 
 def field(name: str, x: Column, ruts: Column | None = None, repair: bool = False) -> Column:
     """One field of a collapsed text, null if it isn't found."""
     if name in ("rut_empresa", "rut_representante"):
-        found = (classified_ruts(x) if ruts is None else ruts)["company" if name == "rut_empresa" else "person"]
+        found = ruts_of(rut_tokens(x) if ruts is None else ruts, "company" if name == "rut_empresa" else "person")
         return choose(found, lambda v: identifiers.checked_rut(v, repair), OWN[name])
     rule = RULES[name]
     return choose(candidates(x, rule.patterns), rule.canon, OWN[name] if rule.own else None).cast(FIELD_TYPES[name])
@@ -99,7 +114,7 @@ def extract(docs: DataFrame, text_col: str = "texto", fields: tuple[str, ...] =
     x, ruts = "_collapsed", "_ruts"
     out = docs.withColumn(x, text.collapse(F.col(text_col)))
     if {"rut_empresa", "rut_representante"} & set(fields):
-        out = out.withColumn(ruts, classified_ruts(F.col(x)))
+        out = out.withColumn(ruts, rut_tokens(F.col(x)))
     return out.withColumns({f: field(f, F.col(x), F.col(ruts), repair) for f in fields}).drop(x, ruts)
 
 

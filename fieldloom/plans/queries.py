@@ -276,8 +276,8 @@ def first_non_own(spark, sf_dir):
 
 @query(sql.with_contracts(f"SELECT id_documento, CASE plantilla WHEN 'tabular' THEN [{sql.text(S.OWN['rut_empresa'])}, rut_empresa] ELSE [{sql.text(S.OWN['rut_empresa'])}, rut_empresa] END AS de_empresa, CASE plantilla WHEN 'formal' THEN [{sql.text(S.OWN['rut_representante'])}, rut_representante] ELSE [rut_representante] END AS de_persona FROM t"))
 def classify_ruts(spark, sf_dir):
-    ruts = extract.classified_ruts(text.collapse(F.col("texto")))
-    return texts(spark, sf_dir).select("id_documento", ruts["company"].alias("de_empresa"), ruts["person"].alias("de_persona"))
+    rows = texts(spark, sf_dir).select("id_documento", extract.rut_tokens(text.collapse(F.col("texto"))).alias("ruts"))
+    return rows.select("id_documento", extract.ruts_of(F.col("ruts"), "company").alias("de_empresa"), extract.ruts_of(F.col("ruts"), "person").alias("de_persona"))
 
 
 def _extracted(name: str):
