@@ -22,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, shared_dir, small_batches, written
+from .common import pick, remove, shared_dir, small_batches, written
 
-LENGTH, KEY, ROUNDS, SHARD_BYTES = 256, 0x5EED, 4, 8 << 20
+LENGTH, KEY, ROUNDS, SHARD_BYTES, WAVES = 256, 0x5EED, 4, 8 << 20, 4
 HEADER = [("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")]
 
 _encodings: dict = {}
@@ -70,8 +70,8 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One stored row per row of docs: task, first (number of its first sequence within the task), doc_id, n_ids, ids (binary)."""
+def sequences(docs: DataFrame, path: str, ranks: str, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, stored under path, per row of docs: task, first (number of its first sequence within the task), doc_id, n_ids, ids (binary)."""
     small_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -89,19 +89,21 @@ def sequences(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH, i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["task", "first", "doc_id", "n_ids", "ids"])
 
     out = rows.mapInArrow(encode, "task int, first long, doc_id long, n_ids long, ids binary")
-    path = shared_dir(docs.sparkSession, "token-ids")
     out.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def materialise(docs: DataFrame, ranks: str, pattern: str, path: str, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Write all sequences of docs as shards under path and return the manifest: n, length, wide, stride, slots (per shard), key.
+def materialise(docs: DataFrame, ranks: str, pattern: str, path: str, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES, vocabulary: int = 50257, waves: int = WAVES, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Write all sequences of docs as shards under path and return the manifest: n, length, wide, stride, slots (per shard), key,
+    per_wave (shards in a folder wave=K). Shards are written range after range of slots, so that only one wave's share of the
+    shuffle is on disk at a time.
 
     Edge cases: null and empty texts have no sequences; null ids are written as the smallest int64; repeated rows are written as
     often as they are there; an empty table writes no record; other columns are left out whatever their names; a long text has as
     many sequences as it needs."""
     spark = docs.sparkSession
-    stored = sequences(docs, ranks, pattern, length, id_col, text_col)
+    staged = shared_dir(spark, "token-ids")
+    stored = sequences(docs, staged, ranks, pattern, length, id_col, text_col)
     wide, pad = vocabulary > 1 << 16, vocabulary - 1
     layout = record(length, wide)
     per_task = stored.groupBy("task").agg(F.max(F.col("first") + F.ceil(F.col("n_ids") / length)).alias("n"))
@@ -109,9 +111,12 @@ def materialise(docs: DataFrame, ranks: str, pattern: str, path: str, length: in
     bases = written(per_task.select("task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "task-bases")
     n = bases.agg(F.sum("n")).first()[0] or 0
     slots = max(1, shard_bytes // layout.itemsize)
-    manifest = {"n": n, "length": length, "wide": wide, "stride": layout.itemsize, "slots": slots, "key": key}
+    shards = -(-n // slots)
+    per_wave = max(1, -(-shards // waves))
+    manifest = {"n": n, "length": length, "wide": wide, "stride": layout.itemsize, "slots": slots, "key": key, "per_wave": per_wave}
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """Records of the shards from low to high."""
         kind = layout["ids"].base
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
@@ -136,26 +141,39 @@ def materialise(docs: DataFrame, ranks: str, pattern: str, path: str, length: in
                         out["ids"][at + full, : len(own) - full * length] = own[full * length :]
                     at += c
                 slot = permute(np.repeat([r[0] + r[1] for r in rows], counts) + seq, n, key)
-                body = np.ascontiguousarray(out.view(np.uint8).reshape(total, -1)[:, :-1])  # the writer adds the line feed
-                bytes_ = pa.Array.from_buffers(pa.binary(layout.itemsize - 1), total, [None, pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // slots).astype(np.int32)), bytes_.cast(pa.binary())], ["slot", "shard", "record"])
+                shard = slot // slots
+                now = (low <= shard) & (shard < high)
+                slot, shard = slot[now], shard[now]
+                body = np.ascontiguousarray(out[now].view(np.uint8).reshape(len(slot), layout.itemsize)[:, :-1])  # the writer adds the line feed
+                bytes_ = pa.Array.from_buffers(pa.binary(layout.itemsize - 1), len(slot), [None, pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((shard - low).astype(np.int32)), bytes_.cast(pa.binary())], ["slot", "shard", "record"])
 
     numbered = stored.join(F.broadcast(bases.select("task", "base")), "task").select("base", "first", "doc_id", "n_ids", "ids")
-    placed = numbered.mapInArrow(place, "slot long, shard int, record binary")
-    shards = placed.repartitionById(max(1, -(-n // slots)), F.col("shard")).sortWithinPartitions("slot")
-    shards.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)  # its committer and file systems; a text is any bytes here
-    spark.createDataFrame([tuple(manifest.values())], "n long, length int, wide boolean, stride int, slots int, key long").coalesce(1).write.json(f"{path}-manifest")
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")  # a wave's shuffle files go with the wave
+    try:
+        for wave, low in enumerate(range(0, max(1, shards), per_wave)):
+            high = max(1, min(low + per_wave, shards))
+            placed = numbered.mapInArrow(lambda batches, low=low, high=high: place(batches, low, high), "slot long, shard int, record binary")
+            ranges = placed.repartitionById(high - low, F.col("shard")).sortWithinPartitions("slot")
+            lines = ranges.select(F.col("record").cast("string").alias("value"))  # a text is any bytes here
+            lines.write.option("lineSep", "\n").text(f"{path}/wave={wave}")
+    finally:
+        spark.conf.set(cleanup, before)
+    remove(spark, staged)
+    spark.createDataFrame([tuple(manifest.values())], "n long, length int, wide boolean, stride int, slots int, key long, per_wave int").coalesce(1).write.json(f"{path}-manifest")
     return manifest
 
 
 def read_slots(spark: SparkSession, path: str, first: int = 0, stop: int | None = None) -> DataFrame:
     """Records of slots first to stop (exclusive) of shards under path: slot, doc_id, seq, n_tokens, ids (array<int>). Shards
     outside are not opened, so reading resumes at any slot."""
-    m = spark.read.schema("n long, length int, wide boolean, stride int, slots int, key long").json(f"{path}-manifest").first()
+    m = spark.read.schema("n long, length int, wide boolean, stride int, slots int, key long, per_wave int").json(f"{path}-manifest").first()
     stop = m.n if stop is None else min(stop, m.n)
     layout, slots = record(m.length, m.wide), m.slots
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    shard = F.regexp_extract(F.col("path"), r"part-(\d+)", 1).cast("int")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    shard = F.regexp_extract("path", r"wave=(\d+)", 1).cast("int") * m.per_wave + F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
     wanted = files.where((shard >= first // slots) & (shard * slots < stop)).select(shard.alias("shard"), "content")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
