@@ -61,17 +61,25 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors. It goes when the session's
+    process ends."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
+    files, at = _located(df.sparkSession, path)
+    files.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of any Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = _located(spark, path)
+    files.delete(at, True)
+
+
+def _located(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def partitions(spark: SparkSession) -> int:

@@ -177,8 +177,7 @@ def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     text = text or ""
     good, bad = base_spans(text)
     spans = dict.fromkeys([*good, *bad])
-    low = text if "@" in text or _DIGIT.search(text) else ""
-    if low or "(at)" in text.lower() or "[at]" in text.lower():
+    if _DIGIT.search(text) or "(at)" in text.lower() or "[at]" in text.lower():
         for kind, pattern in _LOOSE:
             spans |= dict.fromkeys((m.start(), m.end(), kind) for m in pattern.finditer(text))
     own = set(good)
