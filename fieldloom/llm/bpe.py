@@ -39,7 +39,7 @@ class Encoder:
     """Encodes and decodes with one vocabulary file. Pre-tokens and white-space-free pieces that were met before are kept, up to
     a bound that doesn't touch results."""
 
-    kept = 300_000
+    kept = 150_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: White space of every contract here: space and U+0009 to U+000D. bytes.split() cuts at the same six bytes.
 WS_CLASS = r"[\x20\x09-\x0D]"
 NON_WS_CLASS = r"[^\x20\x09-\x0D]"
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import col, partitions, pick, small_batches, squeezed
 
 #: Bytes of a normalised text that take part in its range key, splitters sampled for each range, bytes combined on the map side.
-PREFIX, PER_RANGE, WINDOW = 64, 64, 48 << 20
+PREFIX, PER_RANGE, WINDOW = 64, 64, 24 << 20
 _WS = b" \t\n\r\x0b\x0c"
 
 
