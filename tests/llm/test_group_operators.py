@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import op1_repetition, op2_training_order, op3_link_graph, op6_simhash, op8_chat, op9_mixing, op10_content_sort
+from fieldloom.llm import jaccard, op1_repetition, op2_training_order, op3_link_graph, op6_simhash, op8_chat, op9_mixing, op10_content_sort
 from fieldloom.llm.common import tokenizer_path
 from fieldloom.llm.components import roots
 from fieldloom.llm.simhash import fingerprint
@@ -123,6 +123,38 @@ def test_near_dedup_edges(spark):
     assert fingerprint("A b  c\nD") == fingerprint("a b c d") and fingerprint(" ") == 0
 
 
+def test_near_copies_at_the_threshold_are_dropped(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):  # copies with one to five words replaced: similarity 0.95 to 0.82, and 0.77
+        words = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+        rows.append((10 * k, " ".join(words)))
+        for v in range(1, 4 + k % 3):
+            other = list(words)
+            for at in range(v):
+                other[10 + 20 * at] = f"X{k}{v}{at}"
+            rows.append((10 * k + v, " ".join(other)))
+    rows += [(500 + i, "shared start of every one of these texts " * 2 + " ".join(f"q{i}r{j}" for j in range(12 - i % 3))) for i in range(30)]
+    rows += [(600, rows[0][1].upper()), (601, "a b c"), (602, "A  b c"), (603, None), (604, ""), (None, rows[1][1]), (605, "a b c d")]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    want = sorted(repr(i) for (i, _), r in zip(rows, root, strict=True) if i is None or least[r] == i)
+    docs = docs_of(spark, rows)
+    for small in (jaccard.SMALL, 1):
+        kept = jaccard.keep_one(docs, small=small)
+        assert sorted(repr(r.doc_id) for r in kept.collect()) == want and kept.columns == docs.columns
+    assert sorted(repr(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+    assert len(want) < len(rows) - 30
+
+
 def test_roots_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5)]
     got = {r.node: r.root for r in roots(spark.createDataFrame(chain, "a long, b long")).collect()}
