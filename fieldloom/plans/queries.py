@@ -80,6 +80,11 @@ def strip_accents(spark, sf_dir):
     return docs.select("doc_id", text.strip_accents(F.substring("text", 1, 200)).alias("texto"))
 
 
+@query("SELECT doc_id, strip_accents(translate(text, 'ªº', 'ao')) AS texto FROM documents")
+def strip_accents_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("texto"))
+
+
 @query("SELECT doc_id, strip_accents(text) AS texto FROM documents")
 def strip_accents_any_script(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents_any(F.col("text")).alias("texto"))
