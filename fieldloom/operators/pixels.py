@@ -32,7 +32,8 @@ def binarise(pixels: DataFrame) -> DataFrame:
 
 
 def median3(pixels: DataFrame) -> DataFrame:
-    """3x3 median with the edge extended: img_id, y, x, v, median. Each pixel goes to its nine neighbours, then one aggregation."""
+    """3x3 median with the edge extended: img_id, y, x, v, median. Each pixel goes to its nine neighbours, then one aggregation. Where
+    pixels are missing it is the middle of the neighbours that exist, the upper one of two."""
     size = pixels.groupBy("img_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     spread = pixels.join(size, "img_id").withColumn("shift", F.explode(shifts))
@@ -45,7 +46,8 @@ def median3(pixels: DataFrame) -> DataFrame:
     clamp = lambda c, top: F.greatest(F.lit(0), F.least(c, top))
     wanted = outside.select("img_id", F.col("y").alias("py"), F.col("x").alias("px"), clamp(F.col("ty"), F.col("h")).alias("y"), clamp(F.col("tx"), F.col("w")).alias("x"))
     extra = wanted.join(pixels, ["img_id", "y", "x"]).select("img_id", F.col("py").alias("y"), F.col("px").alias("x"), "v")
-    medians = own.union(extra).groupBy("img_id", "y", "x").agg(F.element_at(F.sort_array(F.collect_list("v")), 5).alias("median"))
+    medians = own.union(extra).groupBy("img_id", "y", "x").agg(F.sort_array(F.collect_list("v")).alias("near"))
+    medians = medians.select("img_id", "y", "x", F.element_at("near", (F.size("near") / 2).cast("int") + 1).alias("median"))
     return pixels.join(medians, ["img_id", "y", "x"])
 
 

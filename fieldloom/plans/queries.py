@@ -491,9 +491,14 @@ def binarize(spark, sf_dir):
     WHERE o.img_id = p.img_id AND o.y = greatest(0, least(p.y + dy, h)) AND o.x = greatest(0, least(p.x + dx, w)) GROUP BY 1, 2, 3, 4) SELECT img_id, round(avg(CASE WHEN abs(v - m) > 40 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS specks FROM q WHERE img_id < (SELECT max(img_id) FROM p) GROUP BY 1""")
 def speck_ratio(spark, sf_dir):
     p = page(spark, sf_dir)
-    whole = p.groupBy("img_id").count().where("count = 64").select("img_id")
     last = p.agg(F.max("img_id").alias("top"))
-    return pixels.speck_ratio(pixels.median3(p.join(whole, "img_id"))).crossJoin(F.broadcast(last)).where("img_id < top").select("img_id", F.round("specks", 9).alias("specks"))
+    return pixels.speck_ratio(pixels.median3(p)).crossJoin(F.broadcast(last)).where("img_id < top").select("img_id", F.round("specks", 9).alias("specks"))
+
+
+@query(_PAGE + """, e AS (SELECT img_id, max(y) AS h, max(x) AS w FROM p GROUP BY 1), q AS (SELECT p.img_id, p.y, p.x, p.v, list_sort(list(o.v))[count(*) // 2 + 1] AS m FROM p JOIN e USING (img_id), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx), p o
+    WHERE o.img_id = p.img_id AND o.y = greatest(0, least(p.y + dy, h)) AND o.x = greatest(0, least(p.x + dx, w)) GROUP BY 1, 2, 3, 4) SELECT img_id, round(avg(CASE WHEN abs(v - m) > 40 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS specks FROM q GROUP BY 1""")
+def speck_ratio_whole(spark, sf_dir):
+    return pixels.speck_ratio(pixels.median3(page(spark, sf_dir))).select("img_id", F.round("specks", 9).alias("specks"))
 
 
 @query(_PAGE + ", r AS (SELECT img_id, y, sum(255 - v) AS ink FROM p GROUP BY 1, 2), l AS (SELECT img_id, (ink - lag(ink) OVER (PARTITION BY img_id ORDER BY y))::DOUBLE AS c FROM r) SELECT img_id, round(var_pop(c), 3) AS score FROM l GROUP BY 1")
