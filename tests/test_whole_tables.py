@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fieldloom.sources import documents
 
 
 def same(spark, folder, name, table):
@@ -28,3 +29,15 @@ def test_specks_of_every_image(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert [r[0] for r in same(spark, tmp_path, "speck_ratio_whole", "orders")] == list(range(6))
     assert [r.img_id for r in entry.queries()["speck_ratio"](spark, str(tmp_path)).orderBy("img_id").collect()] == list(range(5))
+
+
+def test_files_without_a_reader_are_not_lost(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "_readers", {})
+    documents.register("nativo", lambda b: [b.decode()])
+    (tmp_path / "a.pdf").write_bytes(b"largo " * 60)
+    assert [r.id_documento for r in documents.read(documents.scan(spark, str(tmp_path))).collect()] == ["a"]
+    for name in ("b.pdf", "c.jpg"):
+        (tmp_path / name).write_bytes(b"corto")
+        with pytest.raises(documents.EngineMissing):
+            documents.read(documents.scan(spark, str(tmp_path)))
+        (tmp_path / name).unlink()
