@@ -17,6 +17,8 @@ from itertools import chain
 import numpy as np
 import regex
 
+from .common import Vocabulary, vocabulary
+
 #: Fixed value: the published pre-token pattern of byte_bpe_50k.json; its library reads \s as White_Space.
 PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -37,13 +39,13 @@ def byte_alphabet() -> dict[str, int]:
 
 class Encoder:
     """Encodes and decodes with one vocabulary file. Pre-tokens and white-space-free pieces that were met before are kept, up to
-    a bound that doesn't touch results."""
+    bounds of number and of length that don't touch results."""
 
-    kept = 150_000
+    kept, kept_chars = 250_000, 40
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str | Vocabulary):
+        path = source if isinstance(source, str) else source.name
+        spec = json.loads(vocabulary(source).data)
         model = spec["model"]
         pre = spec.get("pre_tokenizer") or {}
         plain = (
@@ -93,8 +95,8 @@ class Encoder:
         at[at == len(self.pair_key)] = 0
         return np.where(self.pair_key[at] == key, self.pair_rank[at], NO_RANK)
 
-    def _short(self, words: list[bytes], n: int) -> list[tuple[int, ...]]:
-        """Words of n bytes each."""
+    def _merged(self, words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For words of n bytes each the parts that are left, in front, and their number."""
         raw = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n)
         part = self.byte_id[raw]  # the part that starts at each boundary still held
         rank = np.full(raw.shape, NO_RANK, np.int32)  # of the part with its right neighbour; the last has none
@@ -125,9 +127,29 @@ class Encoder:
             x = here[has_left]
             r[x, at[has_left] - 1] = self._rank(p[x, at[has_left] - 1], p[x, at[has_left]])
             part[live], rank[live] = p, r
+        return part, held
+
+    def _short(self, words: list[bytes], n: int) -> list[tuple[int, ...]]:
+        """Ids of words of n bytes each."""
+        part, held = self._merged(words, n)
         ints = self.ints.__getitem__
         return [tuple(map(ints, row[:k])) for row, k in zip(part.tolist(), held.tolist(), strict=True)]
 
+    def lengths(self, words: list[str]) -> np.ndarray:
+        """Number of ids of each distinct pre-token; short ones' ids are never built."""
+        out = np.zeros(len(words), np.int64)
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            if n > SHORT:
+                out[at] = [len(self._long(raw[i])) for i in at.tolist()]
+            else:
+                for k in range(0, len(at), 8192):
+                    some = at[k : k + 8192]
+                    out[some] = self._merged([raw[i] for i in some.tolist()], n)[1]
+        return out
+
     def _long(self, word: bytes) -> tuple[int, ...]:
         part = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         n = len(part)
@@ -199,13 +221,12 @@ class Encoder:
         known = self.of_word
         fresh = self.words([w for w in set(chain.from_iterable(cut)) if w not in known])
         if len(known) + len(fresh) <= self.kept:
-            known.update(fresh)
-            fresh = {}
+            known.update((w, i) for w, i in fresh.items() if len(w) <= self.kept_chars)
         ids = {p: (known.get(ws[0]) or fresh[ws[0]]) if len(ws) == 1 else tuple([i for w in ws for i in known.get(w) or fresh[w]]) for p, ws in zip(lack, cut, strict=True)}
         if len(self.of_piece) + len(ids) > self.kept:
             self.stale = len(lack) * 2 > len(pieces)  # another kind of text: what was kept no longer helps
         else:
-            self.of_piece.update(ids)
+            self.of_piece.update((p, i) for p, i in ids.items() if len(p) <= self.kept_chars)
             self.stale = False
         return ids
 
@@ -259,8 +280,8 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(of: Vocabulary) -> Encoder:
+    """One per worker process and vocabulary."""
+    if of.key not in _encoders:
+        _encoders[of.key] = Encoder(of)
+    return _encoders[of.key]

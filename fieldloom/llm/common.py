@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,19 +57,36 @@ def squeezed(text: Column) -> Column:
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all machines of the cluster share, as spark.checkpoint.dir names it. Where that is unset
-    (tests on one machine) the warehouse folder serves."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    (tests on one machine) the warehouse folder serves; on a cluster a warehouse on a local disk is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        one_machine = spark.sparkContext.master.split("[")[0] == "local"
+        if not one_machine and (":" not in base or base.startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     return f"{base.rstrip('/')}/fieldloom/{what}-{uuid.uuid4().hex}"
 
 
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors. It goes when the session's
-    process ends."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors. It goes with let_go, or else
+    when the session's process ends."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
     files, at = _located(df.sparkSession, path)
     files.deleteOnExit(at)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = out, path
+    return out
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing will read again."""
+    for t in tables:
+        if (known := _paths.pop(id(t), None)) is not None:
+            remove(t.sparkSession, known[1])
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -93,3 +112,23 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """A vocabulary file by its contents (a few megabytes), so that executors need no file of the driver's."""
+
+    name: str
+    data: bytes = field(repr=False)
+    key: str
+
+    @classmethod
+    def read(cls, path: str) -> Vocabulary:
+        with open(path, "rb") as f:
+            data = f.read()
+        return cls(os.path.basename(path), data, hashlib.sha256(data).hexdigest())
+
+
+def vocabulary(source: str | Vocabulary) -> Vocabulary:
+    """From a path, read on the driver, or as it is."""
+    return source if isinstance(source, Vocabulary) else Vocabulary.read(source)

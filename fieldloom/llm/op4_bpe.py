@@ -10,37 +10,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import pick, small_batches
+from .common import Vocabulary, pick, small_batches, vocabulary
 
 
-def encode(text: Column, path: str) -> Column:
+def encode(text: Column, path: str | Vocabulary) -> Column:
     """array<int> of token ids as the vocabulary's own library gives them without added special tokens; strings of special
     tokens inside a text become their ids. Null counts as empty; an empty text has no ids."""
 
+    of = vocabulary(path)
+
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array([list(chain.from_iterable(x)) for x in encoder(path).encode_each(texts.to_pylist())], pa.list_(pa.int32()))
+        return pa.array([list(chain.from_iterable(x)) for x in encoder(of).encode_each(texts.to_pylist())], pa.list_(pa.int32()))
 
     return ids(text)
 
 
-def decode(ids: Column, path: str) -> Column:
+def decode(ids: Column, path: str | Vocabulary) -> Column:
     """The text of an array of ids, special tokens included; null counts as no ids."""
 
+    of = vocabulary(path)
+
     @F.arrow_udf("string")
     def text(rows: pa.Array) -> pa.Array:
-        return pa.array([encoder(path).decode(x or ()) for x in rows.to_pylist()], pa.string())
+        return pa.array([encoder(of).decode(x or ()) for x in rows.to_pylist()], pa.string())
 
     return text(ids)
 
 
-def digests(text: Column, path: str) -> Column:
+def digests(text: Column, path: str | Vocabulary) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256>: encodes, decodes the ids again, and keeps only digests of both, so that
     token lists never leave the worker."""
 
+    of = vocabulary(path)
+
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def f(texts: pa.Array) -> pa.Array:
-        e = encoder(path)
+        e = encoder(of)
         out = []
         for row in e.encode_each(texts.to_pylist()):
             ids = list(chain.from_iterable(row))
@@ -51,7 +57,7 @@ def digests(text: Column, path: str) -> Column:
     return f(text)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str | Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256.
 
     Edge cases: a null text counts as empty (0 tokens, digests of the empty string); ties, repeated rows and null ids are kept

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import op1_repetition, op4_bpe, op5_pii, op7_token_counts
 from fieldloom.llm.bpe import Encoder
-from fieldloom.llm.common import tokenizer_path
+from fieldloom.llm.common import tokenizer_path, vocabulary
+from fieldloom.llm.pretokens import ByteLevel, Library, Pieces, pretokens
 
 public = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -153,6 +154,45 @@ def test_counts_agree_with_libraries(spark, name):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+PIECE_ALPHABET = [*ALPHABET, "▁", "▁▁", "<s>", "</s>", "<|startoftext|>", "É", "   ", "\x00"]
+
+
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", ByteLevel), ("word_bpe_49k.json", Library), ("piece_bpe_32k.model", Pieces)])
+def test_tokens_are_the_sum_over_pretokens(name, kind):
+    of = vocabulary(tokenizer_path(name))
+    own = pretokens(of)
+    assert type(own) is kind
+    if name.endswith("json"):
+        library = tokenizers.Tokenizer.from_file(tokenizer_path(name))
+        count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    else:
+        count = lambda t: len(own.model.encode(t))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(PIECE_ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", " ", "x" * 3000 + " y" * 500]
+    f = own.split(texts)
+    total = f.other.copy()
+    for text, word, freq in zip(f.text, own.lengths(f.words)[f.word] if len(f.words) else [], f.freq, strict=True):
+        total[text] += word * freq
+    assert total.tolist() == [count(t) for t in texts]
+    assert len(set(f.words)) == len(f.words) and len(set(zip(f.text.tolist(), f.word.tolist(), strict=True))) == len(f.word)
+
+
+def test_counts_over_many_blocks(spark, monkeypatch):
+    """Small blocks, few hot words and a full cache give the same counts."""
+    library = tokenizers.Tokenizer.from_file(PATH)
+    rng = random.Random(8)
+    words = [f"{rng.choice(['the', 'Über', 'x9', '日本'])}{i % 97}," for i in range(400)]
+    rows = [(i if i % 7 else None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(1, "hot " * 500)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(repr((i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids))) for i, t in rows)
+    for block, hot, kept in ((7, 3, 10), (2000, 24, 200_000), (1, 1, 0)):
+        monkeypatch.setattr(op7_token_counts, "BLOCK_DOCS", block)
+        monkeypatch.setattr(op7_token_counts, "HOT", hot)
+        monkeypatch.setattr(op7_token_counts, "KEPT", kept)
+        got = op7_token_counts.token_counts(docs, PATH).drop("over_limit").collect()
+        assert sorted(repr(tuple(r)) for r in got) == want
+
+
 # Personal data
 
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
