@@ -74,9 +74,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors. It goes with let_go, or else
     when the session's process ends."""
     path = shared_dir(df.sparkSession, what)
+    until_exit(df.sparkSession, path)
     df.write.parquet(path)
-    files, at = _located(df.sparkSession, path)
-    files.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[id(out)] = out, path
     return out
@@ -89,6 +88,12 @@ def let_go(*tables: DataFrame) -> None:
             remove(t.sparkSession, known[1])
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have a path removed when the session's process ends."""
+    files, at = _located(spark, path)
+    files.deleteOnExit(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of any Hadoop file system."""
     files, at = _located(spark, path)

@@ -1,12 +1,15 @@
 """Training-order materialisation: token sequences of a fixed length in fixed-stride shards.
 
-1. Texts are encoded and cut into sequences of `length` ids; a task numbers its sequences as it goes. The ids are stored once.
-2. Sums of the tasks give every sequence its global index. A keyed Feistel network over the smallest even power of two that holds
+1. Documents are dealt out and sorted by a hash of id and text, so that a sequence's place depends on its document alone, not on
+   files or splits. Texts are encoded and cut into sequences of `length` ids; a range numbers its sequences as it goes. The ids are
+   stored once.
+2. Sums of the ranges give every sequence its global index. A keyed Feistel network over the smallest even power of two that holds
    all indices permutes them; an index that lands outside the table is walked through the network again until it lands inside,
    so slots 0 to n - 1 are each taken once.
 3. Slots are range-partitioned into shards of a fixed number of slots (all ranges are equal, as slots are a permutation, so no
-   sampling is needed), sorted, and written by Spark's own committer: a lost executor leaves no half shard. Record k of a shard
-   starts at byte k * stride, so a reader can start at any slot.
+   sampling is needed), sorted, and written by Spark's own committer: a lost executor leaves no half shard. A task writes a group of
+   neighbouring shards, so that shuffle partitions don't grow with shards. Record k of a shard starts at byte k * stride, so a
+   reader can start at any slot.
 
 A record is doc_id (int64), number in its document (int32), number of ids (int32), the ids (uint16 or uint32, padded) and a line
 feed, little-endian.
@@ -18,28 +21,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, remove, shared_dir, small_batches, written
+from .common import Vocabulary, partitions, pick, remove, shared_dir, small_batches, until_exit, vocabulary
 
 LENGTH, KEY, ROUNDS, SHARD_BYTES, WAVES = 256, 0x5EED, 4, 8 << 20, 4
 HEADER = [("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")]
 
+MANIFEST = "n long, length int, wide boolean, stride int, slots int, key long, per_wave int, per_task int"
+
 _encodings: dict = {}
 
 
-def _encoding(ranks: str, pattern: str):
-    if ranks not in _encodings:
-        import base64
+def ranks_of(of: Vocabulary) -> dict[bytes, int]:
+    """The rank table of a .tiktoken file."""
+    import base64
+
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, of.data.splitlines())}
 
+
+def _encoding(ranks: str | Vocabulary, pattern: str):
+    """The encoding of a rank table, and the number of its ids."""
+    of = vocabulary(ranks)
+    if (of.key, pattern) not in _encodings:
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[ranks] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}), len(table)
-    return _encodings[ranks]
+        table = ranks_of(of)
+        _encodings[of.key, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}), max(table.values(), default=-1) + 1
+    return _encodings[of.key, pattern]
 
 
 def record(length: int, wide: bool) -> np.dtype:
@@ -70,110 +80,116 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, ranks: str, pattern: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, stored under path, per row of docs: task, first (number of its first sequence within the task), doc_id, n_ids, ids (binary)."""
+def sequences(docs: DataFrame, path: str, ranks: str | Vocabulary, pattern: str, wide: bool, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, stored under path, per row of docs: range, first (number of its first sequence within the range), doc_id, n_ids, ids
+    (binary). Ranges of hashes follow each other, and rows within one are sorted, so ranges one after the other are in the same
+    order for any number of them."""
     small_batches(docs.sparkSession)
+    of, ranges = vocabulary(ranks), partitions(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    rows = rows.withColumn("range", F.shiftright(F.shiftright("h", 32) * ranges, 31).cast("int"))
+    dealt = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("h", "doc_id", "text").select("range", "doc_id", "text")
+    kind = np.uint32 if wide else np.uint16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, size = _encoding(ranks, pattern)
-        kind = np.uint16 if size < 1 << 16 else np.uint32
-        task, first = TaskContext.get().partitionId(), 0
+        e, _ = _encoding(of, pattern)
+        first = 0
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for number, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.array(e.encode_ordinary(text or ""), kind)
-                out.append((task, first, doc_id, len(ids), ids.tobytes()))
+                out.append((number, first, doc_id, len(ids), ids.tobytes()))
                 first += -(-len(ids) // length)
             columns = zip(*out, strict=True) if out else ([],) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["task", "first", "doc_id", "n_ids", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range", "first", "doc_id", "n_ids", "ids"])
 
-    out = rows.mapInArrow(encode, "task int, first long, doc_id long, n_ids long, ids binary")
+    out = dealt.mapInArrow(encode, "range int, first long, doc_id long, n_ids long, ids binary")
     out.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def materialise(docs: DataFrame, ranks: str, pattern: str, path: str, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES, vocabulary: int = 50257, waves: int = WAVES, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def materialise(docs: DataFrame, ranks: str | Vocabulary, pattern: str, path: str, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES, pad: int | None = None, waves: int = WAVES, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Write all sequences of docs as shards under path and return the manifest: n, length, wide, stride, slots (per shard), key,
-    per_wave (shards in a folder wave=K). Shards are written range after range of slots, so that only one wave's share of the
-    shuffle is on disk at a time.
+    per_wave (shards in a folder wave=K), per_task (shards that a task writes). Shards are written range after range of slots, so
+    that only one wave's share of the shuffle is on disk at a time. pad fills the last record of a document; by default it's the
+    first id that the table leaves free. Ids take two bytes where table and pad fit.
 
     Edge cases: null and empty texts have no sequences; null ids are written as the smallest int64; repeated rows are written as
-    often as they are there; an empty table writes no record; other columns are left out whatever their names; a long text has as
-    many sequences as it needs."""
+    often as they are there (in any order among themselves, as they are equal); an empty table writes no record; other columns are
+    left out whatever their names; a long text has as many sequences as it needs."""
     spark = docs.sparkSession
-    staged = shared_dir(spark, "token-ids")
-    stored = sequences(docs, staged, ranks, pattern, length, id_col, text_col)
-    wide, pad = vocabulary > 1 << 16, vocabulary - 1
+    of = vocabulary(ranks)
+    size = max(ranks_of(of).values(), default=-1) + 1
+    pad = size if pad is None else pad
+    wide = max(size, pad + 1) > 1 << 16
     layout = record(length, wide)
-    per_task = stored.groupBy("task").agg(F.max(F.col("first") + F.ceil(F.col("n_ids") / length)).alias("n"))
-    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(per_task.select("task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "task-bases")
-    n = bases.agg(F.sum("n")).first()[0] or 0
-    slots = max(1, shard_bytes // layout.itemsize)
-    shards = -(-n // slots)
-    per_wave = max(1, -(-shards // waves))
-    manifest = {"n": n, "length": length, "wide": wide, "stride": layout.itemsize, "slots": slots, "key": key, "per_wave": per_wave}
-
-    def place(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
-        """Records of the shards from low to high."""
-        kind = layout["ids"].base
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for k in range(0, len(columns[0]), 64):
-                rows = list(zip(*[c[k : k + 64] for c in columns], strict=True))
-                counts = np.array([-(-r[3] // length) for r in rows], np.int64)
-                total = int(counts.sum())
-                if not total:
-                    continue
-                seq = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-                out = np.zeros(total, layout)
-                out["ids"], out["end"] = pad, b"\n"
-                out["doc_id"] = np.repeat([np.iinfo(np.int64).min if r[2] is None else r[2] for r in rows], counts)
-                out["seq"] = seq
-                out["n"] = np.minimum(np.repeat([r[3] for r in rows], counts) - seq * length, length)
-                at = 0
-                for r, c in zip(rows, counts.tolist(), strict=True):
-                    own = np.frombuffer(r[4], kind)
-                    full = len(own) // length
-                    out["ids"][at : at + full] = own[: full * length].reshape(full, length)
-                    if full < c:
-                        out["ids"][at + full, : len(own) - full * length] = own[full * length :]
-                    at += c
-                slot = permute(np.repeat([r[0] + r[1] for r in rows], counts) + seq, n, key)
-                shard = slot // slots
-                now = (low <= shard) & (shard < high)
-                slot, shard = slot[now], shard[now]
-                body = np.ascontiguousarray(out[now].view(np.uint8).reshape(len(slot), layout.itemsize)[:, :-1])  # the writer adds the line feed
-                bytes_ = pa.Array.from_buffers(pa.binary(layout.itemsize - 1), len(slot), [None, pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((shard - low).astype(np.int32)), bytes_.cast(pa.binary())], ["slot", "shard", "record"])
-
-    numbered = stored.join(F.broadcast(bases.select("task", "base")), "task").select("base", "first", "doc_id", "n_ids", "ids")
+    staged = shared_dir(spark, "token-ids")
+    until_exit(spark, staged)
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # a wave's shuffle files go with the wave
+    spark.conf.set(cleanup, "true")  # a job's shuffle files go with the job
     try:
+        stored = sequences(docs, staged, of, pattern, wide, length, id_col, text_col)
+        # One number for each range, of which there are as many as shuffle partitions.
+        sums = {r["range"]: r["n"] for r in stored.groupBy("range").agg(F.max(F.col("first") + F.ceil(F.col("n_ids") / length)).alias("n")).collect()}
+        sizes = np.array([sums.get(k, 0) for k in range(max(sums, default=-1) + 1)], np.int64)
+        bases, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+        slots = max(1, shard_bytes // layout.itemsize)
+        shards = -(-n // slots)
+        per_wave = max(1, -(-shards // waves))
+        per_task = -(-per_wave // partitions(spark))
+
+        def place(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+            """Records of the shards from low to high."""
+            kind = layout["ids"].base
+            for batch in batches:
+                number, first, doc_id, n_ids, raw = (c.to_pylist() for c in batch.columns)
+                for k in range(0, len(number), 64):
+                    own = slice(k, k + 64)
+                    sizes = np.array(n_ids[own], np.int64)
+                    counts = -(-sizes // length)
+                    row = np.repeat(np.arange(len(sizes)), counts)
+                    seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    slot = permute((bases[number[own]] + np.array(first[own], np.int64))[row] + seq, n, key)
+                    now = (low * slots <= slot) & (slot < high * slots)
+                    if not now.any():
+                        continue
+                    row, seq, slot = row[now], seq[now], slot[now]
+                    out = np.zeros(len(row), layout)
+                    out["doc_id"] = np.array([np.iinfo(np.int64).min if d is None else d for d in doc_id[own]], np.int64)[row]
+                    out["seq"], out["n"] = seq, np.minimum(sizes[row] - seq * length, length)
+                    flat = np.concatenate([np.frombuffer(x, kind) for x in raw[own]])
+                    at = ((np.cumsum(sizes) - sizes)[row] + seq * length)[:, None] + np.arange(length)
+                    out["ids"] = np.where(np.arange(length) < out["n"][:, None], flat[np.minimum(at, len(flat) - 1)], pad)
+                    body = np.ascontiguousarray(out.view(np.uint8).reshape(len(slot), layout.itemsize)[:, :-1])  # the writer adds the line feed
+                    bytes_ = pa.Array.from_buffers(pa.binary(layout.itemsize - 1), len(slot), [None, pa.py_buffer(body)])
+                    group = (slot // slots - low) // per_task
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(group.astype(np.int32)), bytes_.cast(pa.binary())], ["slot", "group", "record"])
+
         for wave, low in enumerate(range(0, max(1, shards), per_wave)):
             high = max(1, min(low + per_wave, shards))
-            placed = numbered.mapInArrow(lambda batches, low=low, high=high: place(batches, low, high), "slot long, shard int, record binary")
-            ranges = placed.repartitionById(high - low, F.col("shard")).sortWithinPartitions("slot")
+            placed = stored.mapInArrow(lambda batches, low=low, high=high: place(batches, low, high), "slot long, group int, record binary")
+            ranges = placed.repartitionById(-(-(high - low) // per_task), F.col("group")).sortWithinPartitions("slot")
             lines = ranges.select(F.col("record").cast("string").alias("value"))  # a text is any bytes here
-            lines.write.option("lineSep", "\n").text(f"{path}/wave={wave}")
+            lines.write.option("lineSep", "\n").option("maxRecordsPerFile", slots).text(f"{path}/wave={wave}")
     finally:
         spark.conf.set(cleanup, before)
-    remove(spark, staged)
-    spark.createDataFrame([tuple(manifest.values())], "n long, length int, wide boolean, stride int, slots int, key long, per_wave int").coalesce(1).write.json(f"{path}-manifest")
+        remove(spark, staged)
+    manifest = {"n": n, "length": length, "wide": wide, "stride": layout.itemsize, "slots": slots, "key": key, "per_wave": per_wave, "per_task": per_task}
+    spark.createDataFrame([tuple(manifest.values())], MANIFEST).coalesce(1).write.json(f"{path}-manifest")
     return manifest
 
 
 def read_slots(spark: SparkSession, path: str, first: int = 0, stop: int | None = None) -> DataFrame:
     """Records of slots first to stop (exclusive) of shards under path: slot, doc_id, seq, n_tokens, ids (array<int>). Shards
     outside are not opened, so reading resumes at any slot."""
-    m = spark.read.schema("n long, length int, wide boolean, stride int, slots int, key long, per_wave int").json(f"{path}-manifest").first()
+    m = spark.read.schema(MANIFEST).json(f"{path}-manifest").first()
     stop = m.n if stop is None else min(stop, m.n)
     layout, slots = record(m.length, m.wide), m.slots
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
-    shard = F.regexp_extract("path", r"wave=(\d+)", 1).cast("int") * m.per_wave + F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
+    part = lambda k: F.regexp_extract("path", r"/wave=(\d+)/part-(\d+)-[^/]*?-c(\d+)[^/-]*\z", k).cast("int")
+    shard = part(1) * m.per_wave + part(2) * m.per_task + part(3)
     wanted = files.where((shard >= first // slots) & (shard * slots < stop)).select(shard.alias("shard"), "content")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

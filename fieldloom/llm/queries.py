@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import op1_repetition, op2_training_order, op3_link_graph, op4_bpe, op5_pii, op6_simhash, op7_token_counts, op8_chat, op9_mixing, op10_content_sort
 from .bpe import PRE_TOKEN
-from .common import shared_dir, tokenizer_path
+from .common import shared_dir, tokenizer_path, until_exit
 
 BYTE_BPE = "byte_bpe_50k.json"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,8 @@ def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_training_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "shards")
+    until_exit(spark, path)
+    until_exit(spark, f"{path}-manifest")
     pattern = PRE_TOKEN.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S")
     op2_training_order.materialise(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), pattern, path)
     read = op2_training_order.read_slots(spark, path)

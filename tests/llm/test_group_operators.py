@@ -266,6 +266,38 @@ def test_shards(spark, tmp_path):
     assert empty["n"] == 0 and op2_training_order.read_slots(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_slots_do_not_depend_on_files(spark, tmp_path):
+    """The same slots for another layout of the input and another number of ranges, under a folder that looks like a shard, whose
+    groups hold several shards each."""
+    import public_tokenizers as P
+
+    rng = random.Random(3)
+    rows = [(i if i % 9 else None, " ".join(rng.choice(["alpha", "é", "beta"]) for _ in range(rng.randint(0, 50)))) for i in range(120)]
+    docs = spark.createDataFrame([(*r, 1, "x", 2.0) for r in rows], "doc_id long, text string, Slot int, seq string, first double")
+    found = []
+    for k, (n, shuffled) in enumerate([(2, "4"), (7, "3")]):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        path = f"{tmp_path}/part-7/wave=3/s{k}"
+        m = op2_training_order.materialise(docs.repartition(n), tokenizer_path("byte_bpe_50k.tiktoken"), P.PATTERN, path, length=8, shard_bytes=400, waves=2)
+        assert m["per_task"] > 1 and -(-m["n"] // m["slots"]) > 8
+        found.append({r.slot: (r.doc_id, r.seq, tuple(r.ids)) for r in op2_training_order.read_slots(spark, path).collect()})
+        assert len(found[-1]) == m["n"]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
+def test_wide_ids_come_from_the_table(spark, tmp_path):
+    import base64
+
+    table = [bytes([b]) for b in range(256)] + [b"%05d" % i for i in range(66_000 - 256)]
+    path = tmp_path / "big.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % (65_999 - i if i < 256 else i - 256) for i, t in enumerate(table)))
+    docs = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
+    m = op2_training_order.materialise(docs, str(path), r"\S+|\s+", f"{tmp_path}/w", length=8)
+    got = [i for r in op2_training_order.read_slots(spark, f"{tmp_path}/w").orderBy("seq").collect() for i in r.ids]
+    assert m["wide"] and got == [65_999 - b for b in b"hello world"]
+
+
 # Link graph
 
 
