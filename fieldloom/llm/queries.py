@@ -152,7 +152,7 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g""",
     "op9_curriculum_mix": rf"""
 WITH x AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || md5(coalesce(text, ''))) AS key FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size, {_weight_sql()} AS weight FROM x GROUP BY source
 ), a AS (

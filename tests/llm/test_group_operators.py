@@ -226,6 +226,37 @@ def test_schedule_is_inverted(spark):
             assert before + w0 * (r.t - t0) + slope * (r.t - t0) ** 2 / 2 == pytest.approx(r.u * total, abs=1e-9)
 
 
+def test_mix_with_other_weights_and_schedules(spark):
+    """Weights without a schedule of their own name, a source's own schedule, ids all null, equal sizes, one very long text."""
+    rows = [(None, f"w{i % 50} x y", "", "ab"[i % 2], 1, 0) for i in range(400)] + [(None, "z " * 60_000, "", "c", 1, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    late = ((0.0, 0.0), (1.0, 2.0))
+    for repeat in (3, 11):
+        got = op9_mixing.mix(docs.repartition(repeat), weights=(4, 3), by_source={"b": late})
+        found = got.collect()
+        assert len(found) == 401 and all((r.position is None) == (r.taken == 0) for r in found)
+        made = op9_mixing.materialise(docs.repartition(repeat), weights=(4, 3), by_source={"b": late})
+        texts = [(r.source, r.text) for r in made.collect()]
+        if repeat == 3:
+            first = sorted(texts)
+        assert sorted(texts) == first  # also where the cut falls
+    with pytest.raises(ValueError, match="schedule"):
+        op9_mixing.mix(docs, schedules=())
+    with pytest.raises(ValueError, match="schedule"):
+        op9_mixing.mix(docs, by_source={"a": ((0.0, 1.0), (0.5, 1.0))})
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 7, 40, 333):
+        sizes = {(f"h{rng.randrange(10**6)}" if k else None): rng.choice([0, 1, 5, 10, 1000, 10**7]) for k in range(n)}
+        frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in op9_mixing.targets(frame).collect()}
+        if sum(sizes.values()):
+            want = brute_targets(sizes)
+            assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-12) for s in want)
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, None, "", "a", 0, 0), (2, "", "", None, 0, 0), (None, "x y", "", "b", 3, 0), (4, "x y", "", "b", 3, 0), (4, "x y", "", "b", 3, 0)], SCHEMA)
     got = op9_mixing.mix(docs).collect()
@@ -390,6 +421,10 @@ def test_typed_parts(spark):
 # Pipeline
 
 
+def md5(s):
+    return hashlib.md5(s.encode()).hexdigest()
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import tokenizers
 
@@ -422,7 +457,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     library, want = tokenizers.Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), collections.Counter()
     for s, target in brute_targets(dict(sizes)).items():
         due = int(target + 0.5)
-        own = sorted((r for r in left if r[3] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+        own = sorted((r for r in left if r[3] == s), key=lambda r: md5(str(r[0]) + md5(r[1])))
         while due > 0:
             for r in own:
                 words = r[1].split()
