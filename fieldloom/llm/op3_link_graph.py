@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import let_go, pick, written
 
 #: The contract's rules.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 1.0
+#: Rounds go on until both vectors move by less than TOLERANCE (sum of changes; 1 is the mass of a vector). Every round shrinks the change by
+#: DAMPING at least, so that ROUNDS, 0.85 ** 120 = 3.4e-9, is never what ends them.
+DAMPING, TOLERANCE, ROUNDS, THRESHOLD = 0.85, 1e-6, 120, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The host of an absolute or scheme-relative link.
@@ -54,9 +56,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """seeds (host, trust, distrust: seed weights), edges (src, dst, links) -> (host, trust, distrust), each summing to 1 over all
-    hosts (0 if there is no seed of the kind). Hosts that are only linked to are included."""
+    hosts (0 if there is no seed of the kind). Hosts that are only linked to are included. Each round is a written table, and the
+    one before it goes."""
     edges = written(edges, "host-edges")
     every = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     sums = seeds.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))
@@ -70,17 +73,25 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     forth = edges.join(out.toDF("src", "n_out"), "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("links") / F.col("n_out")).alias("t"), F.lit(0.0).alias("d"))
     back = edges.join(into.toDF("dst", "n_in"), "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("links") / F.col("n_in")).alias("d"))
     steps = written(forth.union(back), "host-steps")
-    now = start
+    let_go(edges)
+    now = start.select("host", "trust", "distrust", F.col("trust").alias("seed_t"), F.col("distrust").alias("seed_d"))
     for _ in range(rounds):
-        moved = steps.join(now, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
+        moved = steps.join(now.select("host", "trust", "distrust"), "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
         step = lambda seed, m: F.col(seed) * (1 - damping) + damping * F.coalesce(m, F.lit(0.0))
-        now = written(start.join(moved, "host", "left").select("host", step("trust", "t").alias("trust"), step("distrust", "d").alias("distrust")), "host-rank")
+        new = now.join(moved, "host", "left").withColumns({"new_t": step("seed_t", "t"), "new_d": step("seed_d", "d")})
+        change = (F.abs(F.col("new_t") - F.col("trust")) + F.abs(F.col("new_d") - F.col("distrust"))).alias("change")
+        new = written(new.select("host", F.col("new_t").alias("trust"), F.col("new_d").alias("distrust"), "seed_t", "seed_d", change), "host-rank")
+        let_go(now)
+        now = new
+        if (now.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
+            break
+    let_go(steps)
     ends = now.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))
     return now.crossJoin(F.broadcast(ends)).select("host", share("trust").alias("trust"), share("distrust").alias("distrust"))
 
 
 def judge(
-    pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS,
+    pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, host, path, rule (null if none fits), verdict, trust, distrust (of the
     host).
@@ -95,7 +106,7 @@ def judge(
     n = F.col("n").cast("double")
     marks = x.where("host <> ''").groupBy("host").agg(F.sum(F.when(F.col("fate.verdict") == "allow", 1).otherwise(0)).alias("allowed"), F.sum(F.when(F.col("fate.verdict") == "block", 1).otherwise(0)).alias("blocked"), F.count("*").alias("n"))
     seeds = marks.select("host", (F.col("allowed") / n).alias("trust"), (F.col("blocked") / n).alias("distrust"))
-    ranks = propagate(seeds, host_edges(x.select("host", "html")), damping, rounds)
+    ranks = propagate(seeds, host_edges(x.select("host", "html")), damping, rounds, tolerance)
     even = ranks.agg(F.count("*").alias("hosts"))
     verdicts = ranks.crossJoin(F.broadcast(even)).select("host", "trust", "distrust", ((F.col("distrust") * F.col("hosts") >= threshold) & (F.col("distrust") > F.col("trust"))).alias("blocked"))
     own = F.when(F.col("blocked"), "block").otherwise("allow")

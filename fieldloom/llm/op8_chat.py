@@ -60,14 +60,18 @@ def attachments(parts: Column) -> Column:
 
 
 def content(parts: Column) -> Column:
-    """The parts of a turn flattened to one string."""
+    """The parts of a turn flattened to one string, in one pass: attachments are first put as <kind:>, and as a raw "<" is theirs
+    alone, cutting there numbers them."""
     parts = F.coalesce(parts, F.expr(f"CAST(array() AS {PARTS})"))
+    visit = lambda p: F.when(_kind(p) == "text", escape(p["text"])).otherwise(F.concat(F.lit("<"), _kind(p), F.lit(":>")))
+    pieces = F.split(F.array_join(F.transform(parts, visit), ""), "<")
 
-    def visit(p: Column, i: Column) -> Column:
-        k = F.size(F.filter(F.slice(parts, F.lit(1), i), lambda q: _kind(q) != "text"))
-        return F.when(_kind(p) == "text", escape(p["text"])).otherwise(F.concat(F.lit("<"), _kind(p), F.lit(":"), k.cast("string"), F.lit(">")))
+    def number(piece: Column, i: Column) -> Column:
+        kind = F.substring_index(piece, ":>", 1)
+        rest = F.substr(piece, F.length(kind) + 3)
+        return F.when(i == 0, piece).otherwise(F.concat(F.lit("<"), kind, F.lit(":"), (i - 1).cast("string"), F.lit(">"), rest))
 
-    return F.array_join(F.transform(parts, visit), "")
+    return F.array_join(F.transform(pieces, number), "")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -81,7 +85,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     x = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content(F.col("parts")).alias("content"), attachments(F.col("parts")).alias("files"))
     x = x.withColumn("head", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE)))
     x = x.withColumn("piece", F.concat("head", "content", F.lit(CLOSE)))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    x = x.repartition("conv_id").withColumn("raw", unescape(F.col("content")))  # sorted by as it was said; made after the shuffle
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "raw")
     x = x.withColumn("nth", F.row_number().over(order))
     before = F.coalesce(F.sum(F.length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = x.withColumn("start", before + F.length("head"))

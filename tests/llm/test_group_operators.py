@@ -365,6 +365,69 @@ def test_trust_and_distrust(spark):
         assert got[n].trust == pytest.approx(want_t[n]) and got[n].distrust == pytest.approx(want_d[n])
 
 
+def brute_judge(pages, rules, threshold=1.0):
+    """Verdicts of the rules and of the graph, with plain loops."""
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host):], maxsplit=1)[0]
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
+
+    def rule(host, path):
+        hits = [(len(r), v == "block", r, v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(hits)[2:] if hits else (None, None)
+
+    rows = [(i, *parts(u), h or "") for i, u, h in pages]
+    n, allowed, blocked, edges = (collections.Counter() for _ in range(4))
+    for _, host, path, html in rows:
+        if host:
+            n[host] += 1
+            allowed[host] += rule(host, path)[1] == "allow"
+            blocked[host] += rule(host, path)[1] == "block"
+            for to in re.findall(r'href="https?://([^/"]+)', html):
+                if to.lower() != host:
+                    edges[host, to.lower()] += 1.0
+    nodes = {*n, *(x for e in edges for x in e)}
+    trust = brute_rank(nodes, edges, {h: allowed[h] / n[h] for h in n}, 200)
+    distrust = brute_rank(nodes, {(b, a): w for (a, b), w in edges.items()}, {h: blocked[h] / n[h] for h in n}, 200)
+    out = []
+    for i, host, path, _ in rows:
+        r, v = rule(host, path)
+        bad = host in nodes and distrust[host] * len(nodes) >= threshold and distrust[host] > trust[host]
+        out.append((i, host, path, r, v or ("block" if bad else "allow")))
+    return out
+
+
+def test_judge_against_brute_force(spark):
+    """A graph of absolute links with a hub, chains longer than 20 links from a seed, long urls and pages."""
+    rng = random.Random(11)
+    hosts = [f"h{i}.{t}" for i in range(30) for t in ("com", "net", "org")] + ["example.com", "a.example.net"]
+    paths = ["/en/1", "/en/7", "/de/1", "/de/8", "/es/2", "/other", "", "/en/7" + "x" * 100_000]
+    pages = []
+    for i in range(400):
+        own, to = rng.choice(hosts), ["hub.info", *rng.sample(hosts, rng.randint(0, 3))]
+        pages.append((i, f"http://{own}{rng.choice(paths)}", " ".join(f'<a href="http://{t}/x">' for t in to)))
+    pages += [(1000 + i, f"http://c{i}.info/", f'<a href="https://C{i + 1}.info/">' * 2 + "t" * (300_000 if i == 3 else 0)) for i in range(40)]
+    pages += [(1040, "http://c40.info/", '<a href="http://spam.org/">'), (1041, "http://spam.org/es/", None), (1042, None, "x"), (1043, "nowhere", "x")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in op3_link_graph.judge(frame, tolerance=1e-5).select("page_id", "host", "path", "rule", "verdict").collect())
+    want = sorted(brute_judge(pages, op3_link_graph.RULES))
+    assert got == want
+    graph_only = [w for w in want if w[3] is None]
+    assert {w[4] for w in graph_only} == {"allow", "block"}
+
+
+def test_long_chains_converge(spark):
+    """Trust reaches a host 30 links away."""
+    frame = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(30)], "src string, dst string, links double")
+    seeds = spark.createDataFrame([("n0", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r.host: r.trust for r in op3_link_graph.propagate(seeds, frame).collect()}
+    want = brute_rank({f"n{i}" for i in range(31)}, {(f"n{i}", f"n{i + 1}"): 1.0 for i in range(30)}, {"n0": 1.0}, 300)
+    assert got["n30"] > 0 and all(got[h] == pytest.approx(want[h], abs=1e-6) for h in want)
+
+
 def test_link_verdicts(spark):
     rows = [
         (1, "http://A.Example.COM/en/1", ""), (2, "http://a.example.com/en/7/x", ""), (3, "http://example.net/de/8", ""), (4, "http://b.net/de/1?q", ""),
@@ -418,6 +481,24 @@ def test_typed_parts(spark):
     assert chats.select(op8_chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("t")).first().t == "see <this> and "
 
 
+def test_many_parts_and_long_texts(spark):
+    """A turn of many parts, texts of a million characters, a conversation of many turns, and ties that escaping would reorder."""
+    part = lambda kind, text=None: (kind, text, None, 1, 1, 0.0, 1)
+    many = [part("text", "a<b\\") if i % 2 else part(("image", "audio", "document", "other")[i // 2 % 4]) for i in range(6000)]
+    huge = "<x \\l" * 200_000
+    rows = [(1, 0, "user", many), (2, 0, "assistant", [part("text", huge)]), (4, 0, "user", [part("text", "a=")]), (4, 0, "user", [part("text", "a<")])]
+    rows += [(3, k, "assistant" if k % 2 else "user", [part("text", f"turn {k}")]) for k in range(4000)]
+    chats = op8_chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {op8_chat.PARTS}").repartition(5))
+    got = {r.conv_id: r for r in chats.collect()}
+    kinds = [m for m in re.findall(r"<(image|audio|document|file):(\d+)>", got[1].formatted)]
+    assert [int(k) for _, k in kinds] == list(range(3000)) == [a.k for a in got[1].attachments]
+    assert [k for k, _ in kinds] == [a.kind for a in got[1].attachments]
+    said = {r.conv_id: tuple(r)[1:5] for r in op8_chat.digests(chats).collect()}
+    assert said[2] == brute_chat([(0, "assistant", huge)])
+    assert said[3] == brute_chat([(k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(4000)])
+    assert said[4] == brute_chat([(0, "user", "a<"), (0, "user", "a=")])
+
+
 # Pipeline
 
 
