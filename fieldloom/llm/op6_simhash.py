@@ -1,31 +1,39 @@
 """Near-duplicates by SimHash and segment popcounts.
 
-Distinct fingerprints are cut into 32 segments of two bits; the bit counts of the segments (0 to 2 each, side by side in one
-long) are their embedding. A flipped bit moves one count by one, so the Manhattan distance of two embeddings is a lower bound of
-the Hamming distance. With the segments in k blocks, a Manhattan distance up to d leaves at least k - d blocks untouched: every
-pair in range shares a cell in one of the grids spanned by k - d blocks. Cells are joined, grid by grid, and the join's condition
-verifies the Hamming distance exactly and emits a pair in the first grid only that holds it. k grows with the number of
-fingerprints, so that cells stay small.
+Distinct fingerprints are cut into 32 segments of two bits; the bit counts of the segments (0 to 2 each) are their embedding, in 32
+dimensions. It's held in one long as counts in unary (00, 01, 11), so that the Manhattan distance of two embeddings is the number of
+bits in which they differ. A flipped bit moves one count by one, so that is a lower bound of the Hamming distance.
+
+The range join runs on grids: with the segments in k blocks, a Manhattan distance up to d leaves at least k - d blocks untouched, so
+every pair in range shares a cell in one of the grids spanned by k - d blocks. Cells are joined, grid by grid; the join's condition
+drops pairs over the Manhattan distance, then verifies the Hamming distance, and emits a pair in the first grid only that holds it.
+Few blocks make few copies of a fingerprint and large cells; k is the cheapest whose commonest cells still hold few fingerprints.
 
 Cells over HEAVY fingerprints aren't joined pairwise. Their fingerprints emit every value within d / 2 flips; two share such a
 value if and only if they are within d, so linking each to the smallest one of each value gives the same components, exactly and
 in linear work.
+
+keep_similar applies the operator to texts in a pipeline, where near copies are texts of a Jaccard similarity of 0.8 or more over
+five-word shingles. Links of five-word fingerprints propose pairs and the sets decide. At 0.8 fingerprints differ in ten bits or so, out
+of reach of any exact range join on 64 bits, so MinHash bands (jaccard.py) propose what the links miss.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, pick, small_batches, written
-from .components import roots
+from . import jaccard
+from .common import let_go, pick, small_batches, written
+from .components import keep_best, roots
 from .simhash import fingerprint
 
 DISTANCE = 4
-HEAVY = 4096
+HEAVY = 2048
 _LOW = 0x5555555555555555
 
 
@@ -48,29 +56,35 @@ def hex64(x: Column) -> Column:
 
 
 def embedding(x: Column) -> Column:
-    """Bit counts of the 32 two-bit segments of x, two bits each."""
-    a, b = x.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(_LOW))
-    return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))  # their sum, without a carry out of the long
+    """Bit counts of the 32 two-bit segments of x in unary: the low bit of a segment if it has a bit, the high one if it has both."""
+    low, high = x.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(_LOW))
+    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
 
+def manhattan(a: Column, b: Column) -> Column:
+    """Distance of two embeddings."""
+    return F.bit_count(a.bitwiseXOR(b))
 
-def blocks_for(n: int) -> int:
-    """Blocks such that n random fingerprints have a few chance neighbours each in a grid's cells (two counts agree with
-    probability 3/8): the number of grids, C(k, 4), grows slowly with n."""
-    k = DISTANCE + 3
-    while n * 0.375 ** (32 * (k - DISTANCE) / k) > 2 and k < 12:
-        k += 1
-    return k
 
+def blocks_for(n: int, distance: int = DISTANCE, heavy: int = HEAVY) -> int:
+    """The cheapest number of blocks for n random fingerprints. A copy of a fingerprint in a grid costs about as much as 200
+    comparisons; two counts agree with probability 3/8, and the commonest count has probability 1/2, so that no cell should exceed
+    half of heavy."""
+    own = {k: 32 * (k - distance) / k for k in range(distance + 1, distance + 9)}
+    fit = [k for k in own if n * 0.5 ** own[k] <= heavy / 2] or [max(own)]
+    return min(fit, key=lambda k: comb(k, distance) * (1 + n * 0.375 ** own[k] / 200))
 
-def _cells(fps: DataFrame, k: int, distance: int) -> tuple[DataFrame, list[int]]:
-    """x, e, grid (bits of its blocks), low (bits of all blocks up to its last), cell: a row for each grid."""
+
+def _cells(fps: DataFrame, k: int, distance: int) -> tuple[DataFrame, list[int], list[int]]:
+    """x, grid (number), cell: a row for each grid. And the masks of blocks, and for each grid the bits of its blocks."""
     edges = [32 * i // k for i in range(k + 1)]
     masks = [sum(3 << 2 * lane for lane in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-    grids = []
+    grids, bits = [], []
     for own in combinations(range(k), max(1, k - distance)):
         mask = sum(masks[b] for b in own)
-        grids.append(F.struct(F.lit(sum(1 << b for b in own)).alias("grid"), F.lit((2 << own[-1]) - 1).alias("low"), F.col("e").bitwiseAND(F.lit(_signed(mask))).alias("cell")))
-    return fps.select("x", embedding(F.col("x")).alias("e")).select("x", "e", F.inline(F.array(*grids))), masks
+        grids.append(F.struct(F.lit(len(bits)).alias("grid"), F.col("e").bitwiseAND(F.lit(_signed(mask))).alias("cell")))
+        bits.append(sum(1 << b for b in own))
+    return fps.select("x", embedding(F.col("x")).alias("e")).select("x", F.inline(F.array(*grids))), masks, bits
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, heavy: int = HEAVY, n: int | None = None) -> DataFrame:
@@ -78,17 +92,21 @@ def links(fps: DataFrame, distance: int = DISTANCE, heavy: int = HEAVY, n: int |
     whose shared cells are small; for the others enough of them for the same components."""
     if distance % 2:
         raise ValueError("distance must be even")
-    k = max(blocks_for(fps.count() if n is None else n), distance + 1)
-    cells, masks = _cells(fps, k, distance)
+    k = max(blocks_for(fps.count() if n is None else n, distance), distance + 1)
+    cells, masks, grids = _cells(fps, k, distance)
     crowded = written(cells.groupBy("grid", "cell").count().where(F.col("count") > heavy).select("grid", "cell"), "crowded")
     none = crowded.isEmpty()
     rest = cells if none else cells.join(crowded, ["grid", "cell"], "left_anti")
-    left = rest.select("grid", "cell", "low", F.col("x").alias("a"), F.col("e").alias("ea"))
-    right = rest.select("grid", "cell", "low", F.col("x").alias("b"), F.col("e").alias("eb"))
-    apart = F.col("ea").bitwiseXOR(F.col("eb"))
+    side = lambda name: rest.select("grid", "cell", F.col("x").alias(name))
+    pair = side("a").join(side("b"), ["grid", "cell"])  # one shuffle, read by both sides
+    a, b = F.col("a"), F.col("b")
+    ea, eb = embedding(a), embedding(b)
+    near = (a < b) & (manhattan(ea, eb) <= distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
+    apart = ea.bitwiseXOR(eb)
     equal = sum((F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    found = left.join(right.drop("low"), ["grid", "cell"]).where(near & (equal.bitwiseAND(F.col("low")) == F.col("grid"))).select("a", "b")
+    own = F.element_at(F.array(*[F.lit(g) for g in grids]), F.col("grid") + 1)
+    upto = F.element_at(F.array(*[F.lit((1 << g.bit_length()) - 1) for g in grids]), F.col("grid") + 1)  # all blocks up to its last
+    found = pair.where(near).where(equal.bitwiseAND(upto) == own).select("a", "b")
     if none:
         return found
     # A pair may share a crowded cell as its first one and a small one later; here it's found by the crowded way in any case.
@@ -105,17 +123,19 @@ def links(fps: DataFrame, distance: int = DISTANCE, heavy: int = HEAVY, n: int |
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    return written(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), simhash(F.col("text")).alias("x")), "fingerprints")
+    return written(rows.select("doc_id", F.xxhash64("text").alias("t"), simhash(F.col("text")).alias("x")), "fingerprints")
 
 
-def _with_components(rows: DataFrame, distance: int, heavy: int) -> DataFrame:
-    """rows (doc_id, x, ...) with component_id, the smallest doc_id reachable over links."""
-    nodes = written(rows.groupBy("x").agg(F.min("doc_id").alias("first")), "nodes")
+def _with_best(rows: DataFrame, distance: int, heavy: int) -> DataFrame:
+    """rows (doc_id, t, x) with best, the smallest (doc_id, t) reachable over links. Tables are written before they are joined by
+    a key that many rows may share, so that adaptive execution can split it."""
+    nodes = written(rows.groupBy("x").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("first")), "nodes")
     own = roots(links(nodes.select("x"), distance, heavy))
-    linked = own.join(nodes, own["node"] == nodes["x"]).select("node", "root", "first")
+    linked = written(own.join(nodes, own["node"] == nodes["x"]).select("x", "root", "first"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    member = linked.join(least, "root").select(F.col("node").alias("x"), "least")
-    fate = nodes.join(member, "x", "left").select("x", F.coalesce("least", "first").alias("component_id"))
+    member = written(linked.select("x", "root").join(least, "root").select("x", "least"), "members")
+    fate = written(nodes.join(member, "x", "left").select("x", F.coalesce("least", "first").alias("best")), "fates")
+    let_go(nodes, own, linked, member)
     return rows.join(fate, "x")
 
 
@@ -125,16 +145,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Edge cases: a null or empty text has fingerprint zero, which links like any other; null ids are passed over when the smallest
     is looked for (a component of null ids only has a null id and keeps nothing); repeated rows are all returned; an empty table
     gives an empty one; other columns are left out whatever their names; texts of any length are hashed whole."""
-    rows = _with_components(_fingerprints(docs, id_col, text_col), distance, heavy)
-    return rows.select("doc_id", hex64(F.col("x")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    rows = _with_best(_fingerprints(docs, id_col, text_col), distance, heavy)
+    component = F.col("best.doc_id")
+    return rows.select("doc_id", hex64(F.col("x")).alias("fingerprint"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, heavy: int = HEAVY) -> DataFrame:
-    """The rows of docs without those whose component has a smaller id, with all their columns. Rows that agree in id and text
-    share their fate, and rows without an id stay."""
-    rows = _with_components(_fingerprints(docs, id_col, text_col), distance, heavy)
-    drop = rows.where("doc_id > component_id").select("doc_id", "text_hash").distinct()
-    h = free_name(docs, "_text_hash")
-    drop = drop.toDF("_drop_id", h + "_drop")
-    tagged = docs.withColumn(h, F.xxhash64(col(text_col)))
-    return tagged.join(drop, (tagged[f"`{id_col}`"] == drop["_drop_id"]) & (tagged[h] == drop[h + "_drop"]), "left_anti").drop(h)
+    """One row of docs for each component of fingerprints, with all its columns: the one with the smallest id, and of several texts
+    with that id the one with the smallest hash. Rows without an id stay."""
+    return keep_best(docs, _with_best(_fingerprints(docs, id_col, text_col), distance, heavy), id_col, text_col)
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = jaccard.SMALL) -> DataFrame:
+    """One row of docs for each group of near copies (five-word shingles, Jaccard similarity 0.8 or more, chains followed), with all
+    its columns: the one with the smallest id. Edge cases as in jaccard.keep_one."""
+    return jaccard.keep_one(docs, id_col, text_col, small, propose=links)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import jaccard, op1_repetition, op2_training_order, op3_link_graph, op6_simhash, op8_chat, op9_mixing, op10_content_sort
+from fieldloom.llm import jaccard, op2_training_order, op3_link_graph, op6_simhash, op8_chat, op9_mixing, op10_content_sort
 from fieldloom.llm.common import tokenizer_path
 from fieldloom.llm.components import roots
 from fieldloom.llm.simhash import fingerprint
@@ -116,6 +116,50 @@ def test_links_are_complete_for_close_fingerprints(spark):
         assert sorted((r.a, r.b) for r in got) == sorted(want)  # each once
 
 
+def plain_fingerprint(text):
+    """The contract's fingerprint, bit by bit."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_fingerprints_against_plain_ones(monkeypatch):
+    from fieldloom.llm import simhash
+
+    rng = random.Random(2)
+    texts = [None, "", " \t\x0b", "one", "É A b\x0c\x1cC", "x" * 100_000, "a b c d " * 5000, "\xa0 \u2003 İ ẞ"]
+    texts += ["".join(rng.choice("aB é\n\t\x1c  ") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    want = [plain_fingerprint(t) for t in texts]
+    assert [fingerprint(t) for t in texts] == want
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert [fingerprint(t) for t in texts] == want
+
+
+def test_embedding_is_a_lower_bound(spark):
+    rng = random.Random(3)
+    pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(300)]
+    pairs += [(x, x ^ sum(1 << b for b in rng.sample(range(64), k))) for x, _ in pairs[:50] for k in (0, 1, 2, 4, 5)]
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(i, sign(a), sign(b)) for i, (a, b) in enumerate(pairs)], "i int, a long, b long")
+    e = lambda c: op6_simhash.embedding(F.col(c))
+    count = lambda x, k: (x >> 2 * k & 3).bit_count()
+    for r in frame.select("i", op6_simhash.manhattan(e("a"), e("b")).alias("d")).collect():
+        a, b = pairs[r.i]
+        assert r.d == sum(abs(count(a, k) - count(b, k)) for k in range(32)) <= (a ^ b).bit_count()
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share the smallest id, with the same text or another one, are one after near dedup."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text), (None, text), (9, "quite another text of these")]
+    for keep in (op6_simhash.keep_similar, lambda d: op6_simhash.keep_one(d, distance=16)):
+        got = collections.Counter(r.doc_id for r in keep(docs_of(spark, rows)).collect())
+        assert got == {1: 1, None: 1, 9: 1}
+
+
 def test_near_dedup_edges(spark):
     got = {r.doc_id: r for r in op6_simhash.near_duplicates(docs_of(spark, [(None, "a b c d e"), (1, None)])).collect()}
     assert got[1].fingerprint == "0" * 16 and got[None].component_id is None and not got[None].kept
@@ -506,6 +550,27 @@ def md5(s):
     return hashlib.md5(s.encode()).hexdigest()
 
 
+def plainly_good(text):
+    """The quality rule with plain loops: 50 words, half of them outside repeated 3-word windows, at most 40 % of them in repeats of
+    8 words or more, no repeat over 150."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = len(words)
+
+    def inside(size):
+        """Words in windows of this size that the text holds twice or more."""
+        places = collections.defaultdict(list)
+        for i in range(n - size + 1):
+            places[tuple(words[i : i + size])].append(i)
+        return {i + k for at in places.values() if len(at) > 1 for i in at for k in range(size)}
+
+    return n >= 50 and 100 * len(inside(3)) <= 50 * n and 100 * len(inside(8)) <= 40 * n and not inside(151)
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import tokenizers
 
@@ -518,20 +583,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
-    good = []
-    for r, m in zip(rows, op1_repetition.measure([r[1] for r in rows]), strict=True):
-        n, repeat, cover, longest = m[0], m[4], m[5], m[6]
-        if n >= 50 and 100 * repeat <= 50 * n and 100 * cover <= 40 * n and longest <= 150:
-            good.append(r)
+    good = [r for r in rows if plainly_good(r[1] or "")]
     best = {}
     for r in good:
         key = WS.sub("", r[1])
         best[key] = min(best.get(key, r), r, key=lambda x: (-len(x[1]), x[0]))
-    fp = {r[0]: fingerprint(r[1]) for r in best.values()}
-    root, first = brute_components(fp.values()), {}
-    for i, x in fp.items():
-        first[root[x]] = min(first.get(root[x], i), i)
-    left = [r for r in best.values() if first[root[fp[r[0]]]] == r[0]]
+    distinct = sorted(best.values())
+    sets = [five_words(r[1]) for r in distinct]
+    group = list(range(len(distinct)))
+    for i in range(len(distinct)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    left = [r for k, r in enumerate(distinct) if group.index(group[k]) == k]  # the smallest id of each group
     sizes = collections.Counter()
     for r in left:
         sizes[r[3]] += len(r[1].split())
@@ -548,7 +612,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
                     want[r[0], hashlib.sha256(text.encode()).hexdigest(), len(library.encode(text, add_special_tokens=False).ids)] += 1
                 due -= take
     assert collections.Counter((r.doc_id, r.decoded_sha256, r.n_tokens) for r in out) == want
-    assert len(left) < len(good) < len(rows)
+    assert len(left) < len(distinct) < len(good) < len(rows)
 
 
 def test_stages_keep_the_columns(spark):
