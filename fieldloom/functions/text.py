@@ -31,14 +31,15 @@ def useful(x: Column, least: int = 200) -> Column:
     return F.length(F.coalesce(x, F.lit(""))) >= least
 
 
-def _bare(c: str) -> str:
+def bare(c: str) -> str:
+    """A text without marks, in Python."""
     return "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
 
 
 def _latin() -> tuple[str, str]:
     """Latin letters that decompose to one other character, and those; combining marks come last, to be deleted."""
     ranges = [range(0xAA, 0x250), range(0x1E00, 0x1F00)]
-    pairs = [(chr(i), _bare(chr(i))) for r in ranges for i in r]
+    pairs = [(chr(i), bare(chr(i))) for r in ranges for i in r]
     pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1]
     marks = "".join(chr(i) for i in range(0x300, 0x370) if unicodedata.combining(chr(i)))
     return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
@@ -55,7 +56,7 @@ def strip_accents(x: Column) -> Column:
 @F.arrow_udf(T.StringType())
 def strip_accents_any(x: pa.Array) -> pa.Array:
     """The same for every script."""
-    return pa.array([_bare(s or "") for s in x.to_pylist()], pa.string())
+    return pa.array([bare(s or "") for s in x.to_pylist()], pa.string())
 
 
 def lax(x: Column) -> Column:

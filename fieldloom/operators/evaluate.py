@@ -116,6 +116,23 @@ def own_party(results: DataFrame) -> DataFrame:
     return hit.groupBy("campo").agg(F.count("*").alias("cantidad"))
 
 
+def own_party_ranked(results: DataFrame) -> DataFrame:
+    """The same, most frequent first, with their rank (nth); at most one row for each field."""
+    order = Window.orderBy(F.desc("cantidad"), "campo")
+    return own_party(results).withColumn("nth", F.row_number().over(order))
+
+
+def own_party_total(results: DataFrame) -> DataFrame:
+    """All of these cases (total)."""
+    return own_party(results).agg(F.coalesce(F.sum("cantidad"), F.lit(0)).alias("total"))
+
+
+def first_ids(rows: DataFrame, limit: int = 5) -> DataFrame:
+    """The first documents in order of ord: nth, id_documento."""
+    first = rows.orderBy("ord").limit(limit)
+    return first.select(F.row_number().over(Window.orderBy("ord")).alias("nth"), "id_documento")
+
+
 def blanks(predictions: DataFrame) -> DataFrame:
     """campos (number of fields), en_blanco (fields that weren't read)."""
     value = F.explode(F.map_values("campos")).alias("valor")

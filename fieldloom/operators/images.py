@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Knobs of the preparation.
+# Knobs of the preparation.
 BACKGROUND_WIDTH, BACKGROUND_SIGMA = 160, 12.0
 SPECK_JUMP, SPECK_SHARE = 40, 0.004
 SKEW_WIDTH, SKEW_RANGE, SKEW_STEP = 900, 3.0, 0.25

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
+
 
 def histogram(pixels: DataFrame) -> DataFrame:
     """img_id, v (dense 0..255), n."""
@@ -77,6 +79,14 @@ def vignette(pixels: DataFrame, strength: float) -> DataFrame:
 
 
 def salt_and_pepper(pixels: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """rate / 2 of the pixels become black and as many white, by a hash of their place."""
-    u: Column = F.pmod(F.xxhash64(F.lit(seed), "img_id", "y", "x"), F.lit(1_000_000)) / F.lit(1e6)
+    """rate / 2 of the pixels become black and as many white, by a digest of their place."""
+    u: Column = draw(1_000_000, F.lit(seed), F.col("img_id"), F.col("y"), F.col("x")) / F.lit(1e6)
     return pixels.withColumn("v", F.when(u < rate / 2, 0).when(u < rate, 255).otherwise(F.col("v")))
+
+
+def remove_specks(pixels: DataFrame, jump: int = 40, share: float = 0.004) -> DataFrame:
+    """The median of images with enough specks to be worth its blur, other images as they are: img_id, y, x, v."""
+    filtered = median3(pixels)
+    worth = speck_ratio(filtered, jump).where(F.col("specks") >= share).select("img_id", F.lit(True).alias("worth"))
+    out = filtered.join(worth, "img_id", "left")
+    return out.select("img_id", "y", "x", F.when(F.col("worth"), F.col("median")).otherwise(F.col("v")).alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from .. import schema as S
 from ..functions import dates, identifiers, numbers, text
 from ..operators import evaluate, extract, pixels
 from ..sources import documents as sources
-from ..sources import records
-from . import predicted, render, sql, synth
+from ..sources import pdf, records, sinks
+from ..streaming import ingest
+from . import predicted, render, report, sql, synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,14 +76,8 @@ def lax_form(spark, sf_dir):
     return contracts(spark, sf_dir).select("id_documento", text.lax(F.col("domicilio")).alias("laxo"))
 
 
-@query("SELECT doc_id, strip_accents(substr(text, 1, 200)) AS texto FROM documents WHERE lang IN ('fr', 'de', 'es')")
+@query("SELECT doc_id, strip_accents(translate(coalesce(text, ''), 'ªº', 'ao')) AS texto FROM documents")
 def strip_accents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "de", "es"))
-    return docs.select("doc_id", text.strip_accents(F.substring("text", 1, 200)).alias("texto"))
-
-
-@query("SELECT doc_id, strip_accents(translate(text, 'ªº', 'ao')) AS texto FROM documents")
-def strip_accents_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("texto"))
 
 
@@ -265,16 +261,16 @@ def truth_records(spark, sf_dir):
 # Extraction
 
 
-@query(sql.with_contracts("SELECT id_documento, [valor_cuota::VARCHAR] AS montos FROM t WHERE plantilla = 'compacta'"))
+@query(sql.with_contracts("SELECT id_documento, [valor_cuota::VARCHAR] AS montos FROM t"))
 def candidates_ordered(spark, sf_dir):
-    rows = texts(spark, sf_dir).where("plantilla = 'compacta'")
+    rows = texts(spark, sf_dir)
     found = extract.candidates(text.collapse(F.col("texto")), extract.RULES["valor_cuota"].patterns)
     return rows.select("id_documento", F.array_distinct(F.transform(found, lambda c: numbers.parse_money(c).cast("string"))).alias("montos"))
 
 
-@query(sql.with_contracts(f"SELECT id_documento, giro AS ajeno, {sql.text(S.OWN['giro'])} AS primero FROM t WHERE plantilla = 'formal'"))
+@query(sql.with_contracts(f"SELECT id_documento, giro AS ajeno, CASE plantilla WHEN 'formal' THEN {sql.text(S.OWN['giro'])} ELSE giro END AS primero FROM t"))
 def first_non_own(spark, sf_dir):
-    rows = texts(spark, sf_dir).where("plantilla = 'formal'")
+    rows = texts(spark, sf_dir)
     found = extract.candidates(text.collapse(F.col("texto")), extract.RULES["giro"].patterns)
     return rows.select("id_documento", extract.choose(found, text.clean, S.OWN["giro"]).alias("ajeno"), extract.choose(found, text.clean).alias("primero"))
 
@@ -307,6 +303,15 @@ def prediction_records(spark, sf_dir):
     return extract.predictions(texts(spark, sf_dir)).select("id_documento", "origen", "metodo", F.col("campos")["plazo_meses"].alias("plazo"))
 
 
+@query(sql.with_contracts("SELECT id_documento, CASE WHEN ord % 2 = 0 THEN 'tesseract' ELSE 'nativo' END AS metodo, CASE WHEN ord % 2 = 0 THEN 'x_p01.jpg' ELSE 'x.pdf' END AS origen, 0.5::DOUBLE AS segundos, rut_empresa, rut_representante FROM t"))
+def prediction_records_ocr(spark, sf_dir):
+    """Records of recognised and embedded texts; the engine comes from the row and decides on repair."""
+    ocr = F.col("ord") % 2 == 0
+    rows = texts(spark, sf_dir).withColumns({"metodo": F.when(ocr, "tesseract").otherwise("nativo"), "path": F.when(ocr, "/lote/x_p01.jpg").otherwise("/lote/x.pdf"), "segundos": F.lit(0.5)})
+    got = extract.predictions(rows)
+    return got.select("id_documento", "metodo", "origen", "segundos", *[F.col("campos")[f].alias(f) for f in ("rut_empresa", "rut_representante")])
+
+
 @query(sql.with_contracts("SELECT plantilla, count(*) * 15 AS total, count(*) * 15 AS correctos, 1.0::DOUBLE AS exactitud FROM t GROUP BY plantilla"))
 def native_accuracy_by_layout(spark, sf_dir):
     rows = texts(spark, sf_dir)
@@ -433,9 +438,70 @@ def schema_completeness(spark, sf_dir):
     return records_.select("id_documento", records.missing_fields(F.col("campos")).alias("faltan"))
 
 
+@query(f"SELECT campo, cantidad, row_number() OVER (ORDER BY cantidad DESC, campo)::INT AS nth FROM (SELECT campo, count(*) AS cantidad FROM ({_STATES}) WHERE campo = 'razon_social' AND ord % 11 = 7 AND ord % 13 <> 0 GROUP BY campo)")
+def confusions_ranked(spark, sf_dir):
+    return evaluate.own_party_ranked(results(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS total FROM ({_STATES}) WHERE campo = 'razon_social' AND ord % 11 = 7 AND ord % 13 <> 0")
+def confusion_total(spark, sf_dir):
+    return evaluate.own_party_total(results(spark, sf_dir))
+
+
+@query(sql.with_contracts("SELECT row_number() OVER (ORDER BY ord)::INT AS nth, id_documento FROM t WHERE ord % 13 = 0 ORDER BY ord LIMIT 5"))
+def missing_sample(spark, sf_dir):
+    rows = contracts(spark, sf_dir)
+    return evaluate.first_ids(evaluate.missing(rows, predicted.predictions(rows)))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY plantilla)::INT AS nth, plantilla FROM (SELECT DISTINCT plantilla FROM ({_STATES}))")
+def breakdown_order(spark, sf_dir):
+    """The order in which the rows of a breakdown come: three keys."""
+    keys = [r.plantilla for r in evaluate.breakdown(results(spark, sf_dir), truth(spark, sf_dir), "plantilla").collect()]
+    return spark.createDataFrame([(k, n) for n, k in enumerate(keys, 1)], "plantilla string, nth int")
+
+
+@query(sql.with_contracts(f"SELECT '{{}}' AS vacio, count(*) * 15 AS total, count(*) FILTER (ord % 13 = 0) AS sin_prediccion FROM t").replace("'{}' AS vacio, ", ""))
+def metrics_json(spark, sf_dir):
+    """The metrics document, read back."""
+    rows = contracts(spark, sf_dir)
+    made, got = synth.truth_records(rows), predicted.predictions(rows)
+    found = evaluate.compare(made, got, with_similarity=False).cache()
+    document = report.as_json(report.gather(found, made, got))
+    found.unpersist()
+    line = spark.createDataFrame([(document,)], "linea string")
+    value = lambda path: F.get_json_object("linea", path).cast("bigint")
+    return line.select(value("$.summary.total").alias("total"), value("$.missing[0]").alias("sin_prediccion"))
+
+
+@query("SELECT o_orderkey, printf('%6.1f%%', 100.0::DOUBLE * (o_orderkey % 1001) / 1000) AS texto FROM orders WHERE o_orderkey % 1001 % 20 <> 5")
+def percent_text(spark, sf_dir):
+    """Shares whose second place isn't a five, where binary rounding is nobody's rule."""
+    key = F.col("o_orderkey") % 1001
+    return table(spark, sf_dir, "orders").where(key % 20 != 5).select("o_orderkey", text.percent(key / 1000).alias("texto"))
+
+
 # Sources and sinks
 
 
+@query(sql.drawn(5000, 2026))
+def drawn_contracts(spark, sf_dir):
+    return synth.drawn(spark, 5000, 2026, profile=S.MIXED_PROFILE)
+
+
+@query(sql.with_contracts(f"SELECT id_documento, 'nativo' AS metodo, {sql.any_rendered()} AS texto FROM t"))
+def source_read_auto(spark, sf_dir):
+    """Contracts as PDF files, and the text that the source reads back from them."""
+    sources.register("nativo", pdf.read)
+    return sources.read(sinks.pdfs(texts(spark, sf_dir))).select("id_documento", "metodo", "texto")
+
+
+@query(sql.with_contracts("SELECT id_documento, 1 AS paginas, 'pdf/' || id_documento || '.pdf' AS relativo FROM t"))
+def page_counts(spark, sf_dir):
+    files = sinks.pdfs(texts(spark, sf_dir), "/lote/pdf")
+    return files.select(sources.id_of(F.col("path")).alias("id_documento"), sources.count_pages(F.col("content")).alias("paginas"), sources.relative(F.col("path"), "/lote").alias("relativo"))
+
+
 _EXTENSIONS = ("pdf", "PDF", "jpg", "Jpeg", "tiff", "docx")
 
 
@@ -459,6 +525,57 @@ def manifest_json_roundtrip(spark, sf_dir):
     return back.select("id_documento", "plantilla", F.col("campos")["razon_social"].alias("razon_social"), F.col("campos")["valor_cuota"].alias("valor_cuota"))
 
 
+def _shared(spark: SparkSession, what: str) -> str:
+    """A new folder that all machines share, removed when the session's process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/fieldloom/{what}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+@query("SELECT 'NAT-' || lpad(n_nationkey::VARCHAR, 2, '0') AS id_documento, row_number() OVER (ORDER BY n_nationkey)::INT AS nth, n_name AS texto, 'nativo' AS metodo FROM nation")
+def source_scan(spark, sf_dir):
+    """Files on a shared folder: written, scanned in order and read. Other files are passed over."""
+    folder = _shared(spark, "scan")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("NAT-"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("id_documento"), F.col("n_name").alias("texto"))
+    files = sinks.pdfs(rows, "in").union(rows.select(F.concat(F.lit("in/"), "id_documento", F.lit(".txt")), F.col("texto").cast("binary")))
+    sinks.write_files(files, folder).count()
+    found = sources.scan(spark, f"{folder}/in")
+    order = spark.createDataFrame([(r.path, n) for n, r in enumerate(found.select("path").collect(), 1)], "path string, nth int")  # 25 files
+    sources.register("nativo", pdf.read)
+    return sources.read(found.join(order, "path"), "nativo").select("id_documento", "nth", "texto", "metodo")
+
+
+@query(sql.with_contracts("SELECT id_documento, ord, metodo, campos FROM (SELECT id_documento, ord * 2 AS ord, CASE WHEN ord % 3 = 0 THEN 'tesseract' ELSE 'nativo' END AS metodo, 15 AS campos FROM t WHERE ord % 13 <> 0)"))
+def predictions_files(spark, sf_dir):
+    """Predictions as JSON lines, written, read back, the last of each document."""
+    path = _shared(spark, "predictions")
+    records.write_lines(predicted.predictions(contracts(spark, sf_dir)), path)
+    return evaluate.last_wins(records.read_predictions(spark, path)).select("id_documento", "ord", "metodo", F.size("campos").alias("campos"))
+
+
+@query("SELECT 'NAT-' || n_nationkey AS id_documento, n_name AS marca FROM nation")
+def records_by_document(spark, sf_dir):
+    """One JSON file for each document, read back."""
+    path = _shared(spark, "by-document")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), F.concat(F.lit("NAT-"), F.col("n_nationkey")).alias("id_documento"), F.create_map(F.lit("marca"), "n_name").alias("campos"))
+    records.write_by_document(rows, path)
+    back = records.read_lines(spark, f"{path}/*/*.json", S.TRUTH)
+    return back.select("id_documento", F.col("campos")["marca"].alias("marca"))
+
+
+@query(sql.with_contracts("SELECT id_documento, plazo_meses::VARCHAR AS plazo, numero_pagare FROM t"))
+def stream_predictions(spark, sf_dir):
+    """Extraction over a stream of texts, until all files that are there are done."""
+    path = _shared(spark, "stream")
+    rows = texts(spark, sf_dir).select("ord", "id_documento", "texto", F.lit("2024-01-01 10:00:00").cast("timestamp").alias("ts"))
+    rows.write.json(f"{path}/in")
+    ingest.write(ingest.predictions(ingest.texts(spark, f"{path}/in")), f"{path}/out", f"{path}/state").awaitTermination()
+    back = records.read_predictions(spark, f"{path}/out")
+    return back.select("id_documento", F.col("campos")["plazo_meses"].alias("plazo"), F.col("campos")["numero_pagare"].alias("numero_pagare"))
+
+
 # Pixel tables
 
 
@@ -487,20 +604,26 @@ def binarize(spark, sf_dir):
     return pixels.binarise(page(spark, sf_dir))
 
 
-@query(_PAGE + """, e AS (SELECT img_id, max(y) AS h, max(x) AS w FROM p GROUP BY 1), q AS (SELECT p.img_id, p.y, p.x, p.v, list_sort(list(o.v))[5] AS m FROM p JOIN e USING (img_id), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx), p o
-    WHERE o.img_id = p.img_id AND o.y = greatest(0, least(p.y + dy, h)) AND o.x = greatest(0, least(p.x + dx, w)) GROUP BY 1, 2, 3, 4) SELECT img_id, round(avg(CASE WHEN abs(v - m) > 40 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS specks FROM q WHERE img_id < (SELECT max(img_id) FROM p) GROUP BY 1""")
-def speck_ratio(spark, sf_dir):
-    p = page(spark, sf_dir)
-    last = p.agg(F.max("img_id").alias("top"))
-    return pixels.speck_ratio(pixels.median3(p)).crossJoin(F.broadcast(last)).where("img_id < top").select("img_id", F.round("specks", 9).alias("specks"))
+_MEDIAN = """, e AS (SELECT img_id, max(y) AS h, max(x) AS w FROM p GROUP BY 1), q AS (SELECT p.img_id, p.y, p.x, p.v, list_sort(list(o.v))[count(*) // 2 + 1] AS m FROM p JOIN e USING (img_id), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx), p o
+    WHERE o.img_id = p.img_id AND o.y = greatest(0, least(p.y + dy, h)) AND o.x = greatest(0, least(p.x + dx, w)) GROUP BY 1, 2, 3, 4),
+s AS (SELECT img_id, round(avg(CASE WHEN abs(v - m) > 40 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS specks FROM q GROUP BY 1)"""
 
 
-@query(_PAGE + """, e AS (SELECT img_id, max(y) AS h, max(x) AS w FROM p GROUP BY 1), q AS (SELECT p.img_id, p.y, p.x, p.v, list_sort(list(o.v))[count(*) // 2 + 1] AS m FROM p JOIN e USING (img_id), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx), p o
-    WHERE o.img_id = p.img_id AND o.y = greatest(0, least(p.y + dy, h)) AND o.x = greatest(0, least(p.x + dx, w)) GROUP BY 1, 2, 3, 4) SELECT img_id, round(avg(CASE WHEN abs(v - m) > 40 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS specks FROM q GROUP BY 1""")
-def speck_ratio_whole(spark, sf_dir):
+@query(_PAGE + _MEDIAN + " SELECT * FROM s")
+def speck_ratio(spark, sf_dir):
     return pixels.speck_ratio(pixels.median3(page(spark, sf_dir))).select("img_id", F.round("specks", 9).alias("specks"))
 
 
+@query(_PAGE + _MEDIAN + " SELECT img_id, y, x, CASE WHEN specks >= 0.004 THEN m ELSE v END AS v FROM q JOIN s USING (img_id)")
+def speck_removal(spark, sf_dir):
+    return pixels.remove_specks(page(spark, sf_dir))
+
+
+@query(_PAGE + f" SELECT img_id, y, x, CASE WHEN u < 50000 THEN 0 WHEN u < 100000 THEN 255 ELSE v END AS v FROM (SELECT *, {sql.draw(1_000_000, '7', 'img_id', 'y', 'x')} AS u FROM p)")
+def salt_and_pepper(spark, sf_dir):
+    return pixels.salt_and_pepper(page(spark, sf_dir), 0.1, 7)
+
+
 @query(_PAGE + ", r AS (SELECT img_id, y, sum(255 - v) AS ink FROM p GROUP BY 1, 2), l AS (SELECT img_id, (ink - lag(ink) OVER (PARTITION BY img_id ORDER BY y))::DOUBLE AS c FROM r) SELECT img_id, round(var_pop(c), 3) AS score FROM l GROUP BY 1")
 def row_profile_variance(spark, sf_dir):
     return pixels.profile_score(page(spark, sf_dir)).select("img_id", F.round("score", 3).alias("score"))

@@ -1,4 +1,4 @@
-"""The evaluation as text and as one JSON document. Only aggregates and a few examples reach the driver."""
+"""The evaluation for people and for programs. Only aggregates and a few examples reach the driver."""
 
 from __future__ import annotations
 
@@ -11,68 +11,62 @@ from ..functions.text import ellipsis
 from ..operators import evaluate
 from ..schema import DIMENSIONS
 
-WIDTH, EXAMPLES, WORST, NAMED = 78, 3, 5, 5
-
-
-def _title(text: str) -> list[str]:
-    return ["", text, "=" * WIDTH]
-
-
-def _percent(x: float) -> str:
-    return f"{100 * x:6.1f}%"
-
-
-def _rows(head: str, rows: list[Row]) -> list[str]:
-    lines = [f"{head:<24} {'exact.':>7} {'error':>7} {'omis.':>7} {'n':>6}", "-" * WIDTH]
-    return lines + [f"{r[head]:<24} {_percent(r.exactitud)} {_percent(r.tasa_error)} {_percent(r.tasa_omision)} {r.total:>6}" for r in rows]
+EXAMPLES, WORST, NAMED = 3, 5, 5
+_RATES = (("right", "exactitud"), ("wrong", "tasa_error"), ("not read", "tasa_omision"))
 
 
 def gather(results: DataFrame, truth: DataFrame, predictions: DataFrame) -> dict:
     """Everything that the report and the JSON document need. results should be cached or stored, as it is read several times."""
-    lacking = evaluate.missing(truth, predictions).orderBy("ord")
+    lacking = evaluate.missing(truth, predictions)
     worst = evaluate.worst_fields(results, WORST).collect()
     failed = evaluate.failures(results.where(F.col("campo").isin([r.campo for r in worst])), EXAMPLES) if worst else None
     return {
         "summary": evaluate.summary(results).first(),
         "documents": evaluate.by_document(results).first(),
-        "missing": (lacking.count(), [r.id_documento for r in lacking.limit(NAMED).collect()]),
+        "missing": (lacking.count(), [r.id_documento for r in evaluate.first_ids(lacking, NAMED).collect()]),
         "fields": evaluate.by_field(results).orderBy("ord_campo").drop("ord_campo").collect(),
         "dimensions": {d: evaluate.breakdown(results, truth, d).collect() for d in DIMENSIONS},
-        "own": evaluate.own_party(results).orderBy(F.desc("cantidad"), "campo").collect(),
+        "own": evaluate.own_party_ranked(results).orderBy("nth").drop("nth").collect(),
+        "own_total": evaluate.own_party_total(results).first()[0],
         "worst": worst,
         "examples": failed.orderBy("campo", "nth").withColumns({c: ellipsis(F.col(c)) for c in ("esperado", "obtenido")}).collect() if failed is not None else [],
     }
 
 
+def _table(head: str, rows: list[Row]) -> list[str]:
+    """A Markdown table of rates by the values of a column."""
+    out = [f"| {head} | {' | '.join(n for n, _ in _RATES)} | values |", "|-|-|-|-|-|"]
+    return out + [f"| {r[head]} | {' | '.join(f'{r[c]:.1%}' for _, c in _RATES)} | {r.total} |" for r in rows]
+
+
 def text(found: dict, label: str = "") -> str:
-    """The report."""
+    """The report, in Markdown."""
     s, d, (lack, named) = found["summary"], found["documents"], found["missing"]
-    out = _title("INFORME DE EXTRACCION" + (f" — {label}" if label else ""))
-    out += [
-        f"Documentos evaluados : {d.documentos}",
-        f"Campos comparados    : {s.total}",
-        f"Exactitud por campo  : {_percent(s.exactitud)}  ({s.correctos} correctos, {s.incorrectos} incorrectos, {s.omitidos} omitidos)",
-        f"Documentos perfectos : {_percent(d.exactitud)}  ({d.completos} de {d.documentos})",
-    ]
+    out = [f"# Extraction{f': {label}' if label else ''}", ""]
+    out.append(f"{s.exactitud:.1%} of {s.total} values are right ({s.correctos}); {s.incorrectos} are wrong and {s.omitidos} were not read.")
+    out.append(f"{d.completos} of {d.documentos} documents are right in every field ({d.exactitud:.1%}).")
     if lack:
-        out += ["", f"AVISO: {lack} documento(s) sin prediccion: {', '.join(named)}" + (" …" if lack > NAMED else "")]
-    out += _title("EXACTITUD POR CAMPO") + _rows("campo", found["fields"])
+        out.append(f"{lack} documents have no prediction: {', '.join(named)}{', …' if lack > NAMED else ''}.")
     for dimension, rows in found["dimensions"].items():
         if len(rows) > 1:
-            out += _title(f"DESGLOSE POR {dimension.upper()}") + _rows(dimension, rows)
-    out += _title("DATOS DE LA PARTE PROPIA")
-    out += [f"  {r.campo:<24} {r.cantidad}" for r in found["own"]] or ["Ninguno."]
-    out += _title("PEORES CAMPOS")
+            out += ["", f"## By {dimension}", "", *_table(dimension, rows)]
+    out += ["", "## By campo", "", *_table("campo", found["fields"]), "", f"## The own party's values: {found['own_total']}", ""]
+    out += [f"- {r.campo}: {r.cantidad}" for r in found["own"]]
+    out += ["", f"## The weakest fields: {len(found['worst'])}"]
     for r in found["worst"]:
-        out += ["", f"{r.campo}: exactitud {_percent(r.exactitud)}, similitud media {r.similitud_media:.2f}"]
-        for e in found["examples"]:
-            if e.campo == r.campo:
-                out += [f"   {e.id_documento} [{e.estado}]", f"     esperado: {e.esperado}", f"     obtenido: {e.obtenido}"]
-    if not found["worst"]:
-        out += ["Ninguno."]
+        out += ["", f"{r.campo}, {r.exactitud:.1%} right, mean similarity {r.similitud_media:.2f}:", ""]
+        out += [f"- {e.id_documento}, {e.estado}: «{e.obtenido}» for «{e.esperado}»" for e in found["examples"] if e.campo == r.campo]
     return "\n".join(out) + "\n"
 
 
 def as_json(found: dict) -> str:
+    """The metrics as one document. The rows compared aren't in it, as they grow with the corpus; write puts them beside it."""
     plain = lambda x: x.asDict() if isinstance(x, Row) else [plain(y) for y in x] if isinstance(x, (list, tuple)) else {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x
     return json.dumps(plain(found), ensure_ascii=False, sort_keys=True)
+
+
+def write(found: dict, results: DataFrame, path: str) -> None:
+    """path/metricas: one JSON document; path/resultados: the rows compared, as JSON lines."""
+    spark = results.sparkSession
+    spark.createDataFrame([(as_json(found),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metricas")
+    results.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/resultados")

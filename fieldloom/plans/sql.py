@@ -36,21 +36,34 @@ def rut(body: str) -> str:
 
 
 def number_words(n: str) -> str:
-    def hundred(x: str) -> str:
-        ten = f"{words(N.TENS)}[(({x}) // 10 - 2)::INT]"
-        below = lambda y: f"{words(N.BELOW_30)}[(({y}) + 1)::INT]"
-        return f"CASE WHEN ({x}) < 30 THEN {below(x)} WHEN ({x}) % 10 = 0 THEN {ten} ELSE {ten} || ' y ' || {below(f'({x}) % 10')} END"
+    """Hundreds, tens and units are looked up one by one, not in the table that the other engine uses."""
+    def below_1000(x: str) -> str:
+        ten = f"CASE WHEN ({x}) % 100 < 30 THEN {words(N.BELOW_30)}[(({x}) % 100 + 1)::INT] ELSE concat_ws(' y ', {words(N.TENS)}[(({x}) % 100 // 10 - 2)::INT], CASE WHEN ({x}) % 10 > 0 THEN {words(N.BELOW_30)}[(({x}) % 10 + 1)::INT] END) END"
+        return f"CASE WHEN ({x}) = 100 THEN 'cien' ELSE concat_ws(' ', CASE WHEN ({x}) >= 100 THEN {words(N.HUNDREDS)}[(({x}) // 100)::INT] END, CASE WHEN ({x}) % 100 > 0 OR ({x}) = 0 THEN {ten} END) END"
 
-    def thousand(x: str) -> str:
-        head = f"{words(N.HUNDREDS)}[(({x}) // 100)::INT]"
-        return f"CASE WHEN ({x}) < 100 THEN {hundred(x)} WHEN ({x}) = 100 THEN 'cien' WHEN ({x}) % 100 = 0 THEN {head} ELSE {head} || ' ' || {hundred(f'({x}) % 100')} END"
+    many = f"regexp_replace(regexp_replace({below_1000(f'({n}) // 1000')}, 'veintiuno$', 'veintiún'), 'uno$', 'un')"
+    head = f"CASE WHEN ({n}) >= 2000 THEN {many} || ' mil' WHEN ({n}) >= 1000 THEN 'mil' END"
+    return f"concat_ws(' ', {head}, CASE WHEN ({n}) % 1000 > 0 OR ({n}) = 0 THEN {below_1000(f'({n}) % 1000')} END)"
 
-    short = f"replace(replace({thousand(f'({n}) // 1000')} || ' mil', 'veintiuno mil', 'veintiún mil'), 'uno mil', 'un mil')"
-    return f"CASE WHEN ({n}) < 1000 THEN {thousand(n)} ELSE CASE WHEN ({n}) // 1000 = 1 THEN 'mil' ELSE {short} END || CASE WHEN ({n}) % 1000 = 0 THEN '' ELSE ' ' || {thousand(f'({n}) % 1000')} END END"
 
+def draw(k: int, *keys: str) -> str:
+    return f"(('0x' || substr(md5({" || '|' || ".join(f"({x})::VARCHAR" for x in keys)}), 1, 15))::BIGINT % {k})"
 
-def contracts() -> str:
-    """A SELECT with the columns of synth.contracts over orders, fields typed."""
+
+def drawn(n: int, seed: int) -> str:
+    """A SELECT with the columns of synth.drawn(n, seed, profile=mixto)."""
+    own = lambda what, k: draw(k, str(seed), "id", f"'{what}'")
+    layout, low = "CASE", 0.0
+    for name, share in S.LAYOUTS.items():
+        low += share
+        layout += f" WHEN {own('layout', 1_000_000)} < {round(low * 1_000_000)} THEN '{name}'"
+    keys = f"SELECT id, {own('contract', 1_749_600)} AS i, {own('company', 999_998)} AS c FROM range({n}) r(id)"
+    replaced = f"id + 1 AS ord, printf('SINT-%04d', id + 1) AS id_documento, {layout} END AS plantilla, {pick(tuple(S.PROFILES), own('profile', 3))} AS perfil_escaneo"
+    return f"SELECT * EXCLUDE (id) REPLACE ({replaced}) FROM ({contracts(keys).replace('SELECT i + 1 AS ord', 'SELECT id, i + 1 AS ord', 1)})"
+
+
+def contracts(keys: str = "SELECT o_orderkey AS i, o_custkey AS c FROM orders") -> str:
+    """A SELECT with the columns of synth.contracts over keys (i, c), fields typed."""
     brands = tuple(S.BRANDS)
     models = "[" + ", ".join(words(S.BRANDS[b]) for b in brands) + "]"
     first = f"((i // 7) % {len(S.SURNAMES)})"
@@ -70,7 +83,7 @@ def contracts() -> str:
     {rut(f"{S.RUT_PERSON_FIRST + 2} + (i * 104729 + 7) % 9999998")} AS rut_representante,
     strftime({start}, '%Y-%m-%d') AS fecha_inicio, strftime({start} + to_months(({term})::INT), '%Y-%m-%d') AS fecha_termino, ({term})::INT AS plazo_meses,
     ({S.FEE_MIN} + (i % 155) * {S.FEE_STEP})::BIGINT AS valor_cuota, ({S.NOTE_MIN} + (i * 31) % 900000)::VARCHAR AS numero_pagare
-FROM (SELECT o_orderkey AS i, o_custkey AS c FROM orders)"""
+FROM ({keys})"""
 
 
 def with_contracts(query: str) -> str:
@@ -100,3 +113,8 @@ def rendered(layout: str) -> str:
         if name:
             parts.append(f"({(own | printed).get(name, f'{name}::VARCHAR')})")
     return " || ".join(parts)
+
+
+def any_rendered() -> str:
+    """The text of whichever layout a contract has."""
+    return "CASE plantilla " + " ".join(f"WHEN '{name}' THEN {rendered(name)}" for name in LAYOUTS) + " END"

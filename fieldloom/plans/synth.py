@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.draws import draw as drawn_number
 from ..functions.identifiers import check_digit, format_rut
 
 
@@ -77,7 +78,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawn(spark: SparkSession, n: int, seed: int, layout: str | None = None, profile: str = S.NO_PROFILE) -> DataFrame:
-    """n contracts from a seed: every draw is a hash of seed, row and purpose, so rows don't depend on each other. profile may be
+    """n contracts from a seed: every draw is a digest of seed, row and purpose, so rows don't depend on each other. profile may be
     mixto (any of the three) or ninguno."""
     if n < 1:
         raise ValueError("at least one contract")
@@ -87,7 +88,7 @@ def drawn(spark: SparkSession, n: int, seed: int, layout: str | None = None, pro
         raise ValueError(f"profiles: {', '.join((S.NO_PROFILE, S.MIXED_PROFILE, *S.PROFILES))}")
 
     def draw(what: str, k: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(what)), F.lit(k))
+        return drawn_number(k, F.lit(seed), F.col("id"), F.lit(what))
 
     made = contracts(spark.range(n).select("id", draw("contract", 1_749_600).alias("i"), draw("company", 999_998).alias("c")))
     choice, low = None, 0.0

@@ -105,13 +105,62 @@ def test_empty_tables(spark):
     assert evaluate.by_document(found).first().exactitud == 0.0
 
 
-def test_report_and_json(spark):
+def test_report_and_json(spark, tmp_path):
     rows = drawn(spark, 40)
     truth_, got = synth.truth_records(rows), predicted.predictions(rows)
     found = report.gather(evaluate.compare(truth_, got).cache(), truth_, got)
     text = report.text(found, "prueba")
-    assert "prueba" in text and "EXACTITUD POR CAMPO" in text and "DESGLOSE POR PLANTILLA" in text and "3 documento(s) sin prediccion" in text
+    assert "prueba" in text and "## By campo" in text and "## By plantilla" in text and "3 documents have no prediction" in text
     assert '"missing"' in report.as_json(found)
+    report.write(found, evaluate.compare(truth_, got), f"{tmp_path}/r")
+    assert records.read_results(spark, f"{tmp_path}/r/resultados").count() == 600
+
+
+def test_malformed_lines_are_errors(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"id_documento": "a", "campos": {}}\n\n{"id_documento": "b", \n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        records.read_truth(spark, str(tmp_path / "m.jsonl")).collect()
+    (tmp_path / "n.jsonl").write_text('{"id_documento": "a", "campos": {"ano": 2017}}\n \n{"id_documento": "b"}\n')
+    assert [(r.id_documento, r.campos) for r in records.read_truth(spark, str(tmp_path / "n.jsonl")).orderBy("ord").collect()] == [("a", {"ano": "2017"}), ("b", None)]
+
+
+def test_similarity_against_its_definition(spark):
+    """Twice the matching characters over all, where matches are the longest common block and, recursively, those beside it."""
+    import random
+
+    from fieldloom.functions.text import similarity
+
+    def matches(a, b):
+        best = max(((k, -i, -j) for i in range(len(a)) for j in range(len(b)) for k in [next((n for n in range(min(len(a) - i, len(b) - j)) if a[i + n] != b[j + n]), min(len(a) - i, len(b) - j))]), default=(0, 0, 0))
+        k, i, j = best[0], -best[1], -best[2]
+        return k and k + matches(a[:i], b[:j]) + matches(a[i + k :], b[j + k :])
+
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abcñ ") for _ in range(rng.randint(0, 12))), "".join(rng.choice("abcñ ") for _ in range(rng.randint(0, 12)))) for _ in range(300)]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.s for r in frame.select("i", similarity("a", "b").alias("s")).collect()}
+    assert got == {i: round(2 * matches(a, b) / (len(a) + len(b)), 4) if a or b else 1.0 for i, (a, b) in enumerate(pairs)}
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    """Generate, extract from the PDFs and evaluate; missing inputs and a second, cleaned batch."""
+    from fieldloom.__main__ import main
+    from fieldloom.sources import documents
+
+    monkeypatch.setattr(documents, "_readers", {})
+    out = str(tmp_path)
+    assert main(["extract", "--entrada", f"{out}/nowhere", "--salida", f"{out}/p"]) == 1
+    assert main(["evaluate", "--predicciones", f"{out}/p", "--ground-truth", f"{out}/manifiesto"]) == 1
+    assert main(["generate", "--cantidad", "6", "--salida", out, "--solo-pdf"]) == 0
+    assert main(["extract", "--entrada", f"{out}/pdf", "--motor", "auto", "--salida", f"{out}/p"]) == 0
+    assert main(["evaluate", "--predicciones", f"{out}/p", "--ground-truth", f"{out}/manifiesto", "--json", f"{out}/m"]) == 0
+    assert "100.0% of 90 values are right" in capsys.readouterr().out
+    done = records.read_predictions(spark, f"{out}/p").collect()
+    assert {(r.metodo, r.origen) for r in done} == {("nativo", f"SINT-000{i}.pdf") for i in range(1, 7)} and all(r.segundos >= 0 for r in done)
+    assert main(["extract", "--entrada", f"{out}/pdf/SINT-0002.pdf", "--motor", "nativo", "--salida", f"{out}/q"]) == 0
+    assert [r.id_documento for r in records.read_predictions(spark, f"{out}/q").collect()] == ["SINT-0002"]
+    assert main(["generate", "--cantidad", "2", "--salida", out, "--solo-pdf", "--limpiar"]) == 0
+    assert sorted(p.name for p in (tmp_path / "pdf").glob("*.pdf")) == ["SINT-0001.pdf", "SINT-0002.pdf"]
 
 
 def test_records_round_trip(spark, tmp_path):

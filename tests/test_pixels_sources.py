@@ -99,3 +99,61 @@ def test_stream_reads_what_a_batch_reads(spark, tmp_path):
     q.awaitTermination()
     out = spark.read.json(f"{tmp_path}/out")
     assert out.count() == 12 and out.select("campos.giro").where("giro = ''").count() == 0
+
+
+def test_pdfs_and_bitmaps_without_libraries():
+    import zlib
+
+    from fieldloom.sources import bitmap, pdf
+
+    text = "Renta (mensual) \\ $205.000 · Ñuñoa N° 1 " * 300
+    made = pdf.write(text, "título")
+    assert " ".join(" ".join(pdf.read(made)).split()) == " ".join(text.split()) and pdf.count_pages(made) == len(pdf.read(made)) > 1
+    body = b"BT (a\\051\\(b) Tj [(c) -20 (d)] TJ ET"
+    packed = b"%PDF-1.4 /Font /WinAnsiEncoding << /Filter /FlateDecode >> stream\n" + zlib.compress(body) + b"\nendstream"
+    assert pdf.read(packed) == ["a)(b\ncd"] and pdf.read(pdf.write("")) == [""]
+    for bad in (b"PK", b"%PDF-1.4 /Font /Identity-H"):
+        with pytest.raises(ValueError):
+            pdf.read(bad)
+    image = np.random.default_rng(1).integers(0, 256, (7, 5)).astype(np.uint8)
+    assert (bitmap.read(bitmap.write(image)) == image).all() and (documents.decode(bitmap.write(image)) == image).all()
+    assert documents.page_count(bitmap.write(image)) == 1 and documents.page_count(made) == pdf.count_pages(made)
+
+
+def test_recognition_gets_prepared_pages(spark, monkeypatch):
+    """PDFs are drawn and images decoded, every page is prepared, and the cloud engine gets files as they are."""
+    from fieldloom.sources import bitmap, pdf
+
+    def recognise(image):
+        return f"{image.shape[0]}x{image.shape[1]} {sorted(set(image.ravel().tolist()))}"
+
+    monkeypatch.setattr(documents, "_readers", {})
+    documents.register("nativo", pdf.read)
+    drawn = [bars(), bars()]
+    documents.register("tesseract", documents.ocr_reader(recognise, draw=lambda content, dpi: drawn))
+    rows = [("/l/a.pdf", bytearray(pdf.write("largo " * 60))), ("/l/b.pdf", bytearray(pdf.write("corto"))), ("/l/c_p01.bmp", bytearray(bitmap.write(bars()))), ("/l/d.txt", bytearray(b"x"))]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.id_documento: (r.metodo, r.texto) for r in documents.read(files).collect()}
+    page = "1200x960 [0, 255]"
+    assert got == {"a": ("nativo", " ".join(["largo"] * 60)), "b": ("tesseract", f"{page} {page}"), "c": ("tesseract", page)}
+    documents.register("documentai", documents.cloud_reader(lambda r: f"{r['name']} {r['raw_document']['mime_type']} {r['process_options']['ocr_config']}", "p"))
+    cloud = [r.texto for r in documents.read(files.where("path like '%c_p01%'"), "documentai").collect()]
+    assert cloud == ["p image/bmp {'enable_native_pdf_parsing': True}"]
+    assert not documents.cloud_configured({}) and documents.cloud_configured(dict.fromkeys(documents.CLOUD_VARIABLES, "x"))
+    with pytest.raises(Exception, match="no embedded text"):
+        documents.read(files, "nativo").collect()
+
+
+def test_scans_of_pdfs(spark):
+    from fieldloom.sources import bitmap, sinks
+
+    files = spark.createDataFrame([("pdf/A-1.pdf", bytearray(b"%PDF")), ("pdf/B-2.pdf", bytearray(b"%PDF"))], "path string, content binary")
+    profile = F.when(F.col("path").contains("A-1"), "degradado").otherwise(S.NO_PROFILE)
+    drawn = [bars(60, 48), bars(60, 48)]
+    made = sinks.scans(files, profile, 3, draw=lambda content, dpi: drawn, encode=lambda image, quality: ("bmp", bitmap.write(image)))
+    got = {r.path: bitmap.read(bytes(r.content)) for r in made.collect()}
+    assert sorted(got) == ["escaneos/A-1_p01.bmp", "escaneos/A-1_p02.bmp"]
+    assert not (got["escaneos/A-1_p01.bmp"] == got["escaneos/A-1_p02.bmp"]).all()
+    assert {r.path: bitmap.read(bytes(r.content)).tolist() for r in made.collect()} == {k: v.tolist() for k, v in got.items()}
+    with pytest.raises(Exception, match="EngineMissing|PyMuPDF"):
+        sinks.scans(files, F.lit("medio")).collect()
