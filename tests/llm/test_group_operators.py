@@ -199,6 +199,24 @@ def test_near_copies_at_the_threshold_are_dropped(spark):
     assert len(want) < len(rows) - 30
 
 
+def test_rare_shingles_find_every_near_pair_of_different_roots(spark):
+    """Against all pairs: distant copies of one text, texts that share a passage, and ties of frequency."""
+    rng = random.Random(11)
+    core = [rng.getrandbits(62) for _ in range(60)]
+    sets = [frozenset(h for h in core if rng.random() > p) | {rng.getrandbits(62) for _ in range(rng.randrange(1 + int(60 * p)))} for p in (0.02, 0.1, 0.2, 0.4) for _ in range(30)]
+    sets += [frozenset(core[:40] + [rng.getrandbits(62) for _ in range(k % 12)]) for k in range(30)] + [frozenset([5]), frozenset([5, 6]), frozenset(range(5)), frozenset(range(4))]
+    rows = [(x, len(v), x if x % 3 else -1) for x, v in enumerate(sets)]
+    packed = [(x, len(v), bytearray(np.array(sorted(v), np.int64).tobytes())) for x, v in enumerate(sets)]
+    rest, table = spark.createDataFrame(rows, "x long, n long, root long"), spark.createDataFrame(packed, "x long, n long, s binary")
+    pairs = {(a, b) for b in range(len(sets)) for a in range(b) if rows[a][2] != rows[b][2]}
+    near = {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    got = jaccard._sharing_rare(rest, table)
+    found = {(r.a, r.b) for r in got.collect()}
+    assert near and near <= found <= pairs and len(found) < len(pairs) / 2
+    assert {(r.a, r.b) for r in jaccard._verified(got, table).collect()} == near
+    assert jaccard._sharing_rare(rest.limit(0), table).count() == 0
+
+
 def test_roots_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5)]
     got = {r.node: r.root for r in roots(spark.createDataFrame(chain, "a long, b long")).collect()}
