@@ -224,6 +224,17 @@ def test_roots_of_a_long_chain(spark):
     assert roots(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_merge_components(spark):
+    own = spark.createDataFrame([(1, 1), (2, 1), (3, 4), (4, 4), (8, 9), (9, 9)], "node long, root long")
+    links = spark.createDataFrame([(2, 3), (3, 6), (20, 21), (1, 2)], "a long, b long")
+    groups = collections.defaultdict(set)
+    for r in jaccard._merged(own, links).collect():
+        assert r.node not in groups[r.root]
+        groups[r.root].add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4, 6], [8, 9], [20, 21]]
+    assert {tuple(r) for r in jaccard._merged(own, links.limit(0)).collect()} == {tuple(r) for r in own.collect()}
+
+
 # Mixing
 
 
