@@ -199,7 +199,7 @@ def test_near_copies_at_the_threshold_are_dropped(spark):
     assert len(want) < len(rows) - 30
 
 
-def test_rare_shingles_find_every_near_pair_of_different_roots(spark):
+def test_rare_shingles_find_every_near_pair_of_different_roots(spark, monkeypatch):
     """Against all pairs: distant copies of one text, texts that share a passage, and ties of frequency."""
     rng = random.Random(11)
     core = [rng.getrandbits(62) for _ in range(60)]
@@ -215,6 +215,8 @@ def test_rare_shingles_find_every_near_pair_of_different_roots(spark):
     assert near and near <= found <= pairs and len(found) < len(pairs) / 2
     assert {(r.a, r.b) for r in jaccard._verified(got, table).collect()} == near
     assert jaccard._sharing_rare(rest.limit(0), table).count() == 0
+    monkeypatch.setattr(jaccard, "HOT", 3)  # every shingle of the core over many cells
+    assert {(r.a, r.b) for r in jaccard._sharing_rare(rest, table).collect()} == found
 
 
 def test_roots_of_a_long_chain(spark):
