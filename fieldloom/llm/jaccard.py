@@ -12,7 +12,8 @@ n // 5 + 1 of theirs, and after the first one that they share enough others must
 shingles of a passage come last in texts that have their own words. Of the components that share a shingle the largest is only compared
 with the others, not within itself. Members of a shingle that many share are dealt over a grid of cells of HOT by HOT members.
 
-Texts with the same set of shingles are one node from the start. Links of fingerprints may propose further pairs.
+Texts with the same set of shingles are one node from the start. Links of fingerprints may come first: those that the sets confirm make
+components, and the bands only compare nodes of different ones. Buckets within one component go as a whole.
 """
 
 from __future__ import annotations
@@ -130,12 +131,29 @@ def _proposed(nodes: DataFrame, propose: Callable[[DataFrame], DataFrame]) -> Da
     return ends.select(*_ordered(F.col("na"), F.col("nb"))).union(own.select(*_ordered(F.col("x"), F.col("node"))))
 
 
+def _sets(nodes: DataFrame, texts: DataFrame, some: DataFrame) -> DataFrame:
+    """x, n and s (the packed set) of some nodes (column x)."""
+    wanted = some.distinct().join(nodes, "x").select("x", "n", "t")
+    return written(texts.join(wanted, "t").dropDuplicates(["x"]).select("x", "n", _packed("text").alias("s")), "shingles")
+
+
+def _settled(nodes: DataFrame, texts: DataFrame, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes that proposed links connect, as far as the sets confirm them."""
+    pairs = written(_proposed(nodes, propose).distinct(), "proposed")
+    sets = _sets(nodes, texts, pairs.select(F.explode(F.array("a", "b")).alias("x")))
+    own = roots(_verified(pairs, sets))
+    let_go(pairs, sets)
+    return own
+
+
 def _components(nodes: DataFrame, texts: DataFrame, small: int, propose: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """(node, root) of the nodes (x, n, f, bands, t) with a near copy; texts has t and text."""
     num, den = SIMILARITY
-    rows = nodes.select("x", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("x", "key"), "x", "n")).alias("centre")).where("c > 1")
-    found = rows.join(shared, "key").select("key", "x", "n", "c", F.col("centre.x").alias("cx"), F.col("centre.n").alias("cn"))
+    settled = nodes.sparkSession.createDataFrame([], "node long, root long") if propose is None else _settled(nodes, texts, propose)
+    rows = _placed(nodes.select("x", "n", "bands"), settled).select("x", "n", "root", F.explode("bands").alias("key"))
+    centre = F.min(F.struct(F.xxhash64("x", "key"), "x", "n", "root")).alias("centre")
+    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), centre).where("lo <> hi")
+    found = rows.join(shared, "key").select("key", "x", "n", "root", "c", F.col("centre.x").alias("cx"), F.col("centre.n").alias("cn"), F.col("centre.root").alias("croot"))
     members = written(found.join(nodes.select("x", "sketch"), "x"), "buckets")
 
     def alike(n: str, m: str) -> Column:  # sizes that allow the similarity
@@ -145,32 +163,32 @@ def _components(nodes: DataFrame, texts: DataFrame, small: int, propose: Callabl
         return sum((F.bit_count(F.col(p)[i].bitwiseXOR(F.col(q)[i])) for i in range(SKETCH // 64)), F.lit(0)) <= APART
 
     few = members.where(F.col("c") <= small)
-    left, right = few.select("key", F.col("x").alias("a"), "n", F.col("sketch").alias("p")), few.select("key", F.col("x").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("q"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & alike("n", "m") & close("p", "q")).select("a", "b")
+    left = few.select("key", F.col("x").alias("a"), "n", "root", F.col("sketch").alias("p"))
+    right = few.select("key", F.col("x").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("sketch").alias("q"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & alike("n", "m") & close("p", "q")).select("a", "b")
     many = members.where(F.col("c") > small)
-    stars = many.where((F.col("x") != F.col("cx")) & alike("n", "cn")).select(*_ordered(F.col("x"), F.col("cx")))
-    found, nodes_in = pairs.union(stars), members.select("x")
-    if propose is not None:
-        more = written(_proposed(nodes, propose).distinct(), "proposed")
-        found, nodes_in = found.union(more), nodes_in.union(more.select("a")).union(more.select("b"))
-    involved = nodes_in.distinct().join(nodes, "x").select("x", "n", "t")
-    sets = written(texts.join(involved, "t").dropDuplicates(["x"]).select("x", "n", _packed("text").alias("s")), "shingles")
-    links = written(_verified(found.distinct(), sets), "links")
-    own = roots(links)
+    stars = many.where((F.col("root") != F.col("croot")) & alike("n", "cn")).select(*_ordered(F.col("x"), F.col("cx")))
+    sets = _sets(nodes, texts, members.select("x"))
+    own = _merged(settled, _verified(pairs.union(stars).distinct(), sets))
     # Members of a large bucket that are in different components still have to be compared with each other.
-    placed = many.join(own, many["x"] == own["node"], "left").select("key", "x", "n", F.coalesce("root", "x").alias("root"))
+    placed = _placed(many.select("key", "x", "n"), own)
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = written(placed.join(split, "key").select("x", "n", "root").distinct(), "split-buckets")
-    let_go(members)
+    let_go(members, settled)
     if rest.isEmpty():
-        let_go(sets, links)
+        let_go(sets)
         return own
     cross = _sharing_rare(rest, sets)
     joined = _merged(own, _verified(cross, sets))
-    let_go(sets, links, rest, cross, own)
+    let_go(sets, rest, cross, own)
     return joined
 
 
+def _placed(nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """nodes (x and more) with the root of their component in own (node, root); a node that has none is its own."""
+    return nodes.join(own, nodes["x"] == own["node"], "left").withColumn("root", F.coalesce("root", "x")).drop("node")
+
+
 def _merged(own: DataFrame, links: DataFrame) -> DataFrame:
     """Components own (node, root), joined by further links (a, b) of nodes, some of which own may not have."""
     ends = links.join(own.toDF("a", "ra"), "a", "left").join(own.toDF("b", "rb"), "b", "left")
@@ -230,7 +248,7 @@ def keep_one(
     """One row of docs for each group of near copies, with all its columns: the one with the smallest id, and of several texts with
     that id the one with the smallest hash. Groups are the components of pairs of similarity SIMILARITY or more. Rows without an id
     stay; texts without words are one group; texts of any length are compared whole. propose takes distinct fingerprints (column x)
-    and gives links (a, b) between them that are candidates besides the bands'."""
+    and gives links (a, b) between them that are candidates before the bands'."""
     small_batches(docs.sparkSession)
     base = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("t", F.xxhash64("text"))
     rows = written(base.select("doc_id", "t", signature(F.col("text")).alias("s")).select("doc_id", "t", "s.*"), "signatures")

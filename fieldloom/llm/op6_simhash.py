@@ -14,8 +14,9 @@ value if and only if they are within d, so linking each to the smallest one of e
 in linear work.
 
 keep_similar applies the operator to texts in a pipeline, where near copies are texts of a Jaccard similarity of 0.8 or more over
-five-word shingles. Links of five-word fingerprints propose pairs and the sets decide. At 0.8 fingerprints differ in ten bits or so, out
-of reach of any exact range join on 64 bits, so MinHash bands (jaccard.py) propose what the links miss.
+five-word shingles. Links of five-word fingerprints come first: those that the sets confirm settle the closest copies, however many there
+are. At 0.8 fingerprints differ in ten bits or so, out of reach of any exact range join on 64 bits, so MinHash bands (jaccard.py) go on
+from the components of the links and compare only what they left apart.
 """
 
 from __future__ import annotations

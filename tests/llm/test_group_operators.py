@@ -199,6 +199,37 @@ def test_near_copies_at_the_threshold_are_dropped(spark):
     assert len(want) < len(rows) - 30
 
 
+@pytest.mark.parametrize("small", [jaccard.SMALL, 1])
+def test_bands_go_on_from_the_components_of_the_links(spark, monkeypatch, small):
+    rng = random.Random(21)
+    rows = []
+    for k in range(4):  # a group of close copies, of which SimHash links many, and distant ones
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(100 * k + v, " ".join([*words, f"end{k}x{v}"])) for v in range(12)]
+        rows += [(100 * k + 50 + v, " ".join(f"x{v}" if i % 61 == v else w for i, w in enumerate(words))) for v in range(3)]
+    calls, verified = [], jaccard._verified
+
+    def recorded(pairs, sets):
+        out = verified(pairs, sets)
+        calls.append(({tuple(r) for r in pairs.collect()}, {tuple(r) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(jaccard, "_verified", recorded)
+    ids = lambda kept: sorted(r.doc_id for r in kept.collect())
+    alone = ids(jaccard.keep_one(docs_of(spark, rows), small=small, propose=lambda fps: fps.select(F.col("x").alias("a"), F.col("x").alias("b")).limit(0)))
+    by_bands = {p for c in calls for p in c[0]}
+    calls.clear()
+    assert ids(op6_simhash.keep_similar(docs_of(spark, rows), small=small)) == alone == [0, 100, 200, 300]
+    root = {}
+    for a, b in calls[0][1]:
+        old, new = root.get(a, a), root.get(b, b)
+        root |= {x: new for x in [a, b, *root] if root.get(x, x) == old}
+    later = [p for c in calls[1:] for p in c[0]]
+    assert not by_bands <= calls[0][0]  # the links go first, alone
+    assert root and all(root.get(a, a) != root.get(b, b) for a, b in later)
+    assert 0 < len(later) < len(by_bands)
+
+
 def test_rare_shingles_find_every_near_pair_of_different_roots(spark, monkeypatch):
     """Against all pairs: distant copies of one text, texts that share a passage, and ties of frequency."""
     rng = random.Random(11)
