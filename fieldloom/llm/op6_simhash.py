@@ -4,10 +4,12 @@ Distinct fingerprints are cut into 32 segments of two bits; the bit counts of th
 dimensions. It's held in one long as counts in unary (00, 01, 11), so that the Manhattan distance of two embeddings is the number of
 bits in which they differ. A flipped bit moves one count by one, so that is a lower bound of the Hamming distance.
 
-The range join runs on grids: with the segments in k blocks, a Manhattan distance up to d leaves at least k - d blocks untouched, so
-every pair in range shares a cell in one of the grids spanned by k - d blocks. Cells are joined, grid by grid; the join's condition
-drops pairs over the Manhattan distance, then verifies the Hamming distance, and emits a pair in the first grid only that holds it.
-Few blocks make few copies of a fingerprint and large cells; k is the cheapest whose commonest cells still hold few fingerprints.
+The range join runs on grids: with the segments in k blocks, a Manhattan distance up to d leaves at least k - d blocks untouched. The
+blocks are in m groups; with k - d = m (t - 1) + 1, some group has t untouched blocks, so every pair in range shares a cell in one of
+the grids spanned by t blocks of one group. Cells are joined, grid by grid; the join's condition drops pairs over the Manhattan
+distance, then verifies the Hamming distance, and emits a pair in the first grid only that holds it. Few grids make few copies of a
+fingerprint and large cells; t and m are the cheapest whose commonest cells still hold few fingerprints. Groups make the copies grow
+in small steps with the number of fingerprints, and fewer of them for the same cells (7 for 8 segments, where one group needs 15).
 
 Cells over HEAVY fingerprints aren't joined pairwise. Their fingerprints emit every value within d / 2 flips; two share such a
 value if and only if they are within d, so linking each to the smallest one of each value gives the same components, exactly and
@@ -67,25 +69,54 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def blocks_for(n: int, distance: int = DISTANCE, heavy: int = HEAVY) -> int:
-    """The cheapest number of blocks for n random fingerprints. A copy of a fingerprint in a grid costs about as much as 200
-    comparisons; two counts agree with probability 3/8, and the commonest count has probability 1/2, so that no cell should exceed
-    half of heavy."""
-    own = {k: 32 * (k - distance) / k for k in range(distance + 1, distance + 9)}
-    fit = [k for k in own if n * 0.5 ** own[k] <= heavy / 2] or [max(own)]
-    return min(fit, key=lambda k: comb(k, distance) * (1 + n * 0.375 ** own[k] / 200))
-
-
-def _cells(fps: DataFrame, k: int, distance: int) -> tuple[DataFrame, list[int], list[int]]:
-    """x, grid (number), cell: a row for each grid. And the masks of blocks, and for each grid the bits of its blocks."""
-    edges = [32 * i // k for i in range(k + 1)]
+def blocks_for(n: int, distance: int = DISTANCE, heavy: int = HEAVY) -> tuple[int, int]:
+    """The cheapest (own blocks of a grid, groups of blocks) for n random fingerprints. A copy of a fingerprint in a grid costs about
+    as much as 200 comparisons; two counts agree with probability 3/8, and the commonest count has probability 1/2, so that no cell
+    should exceed three quarters of heavy."""
+    costs, least = {}, {}
+    for own in range(1, 9):
+        for groups in range(1, distance + 2):
+            edges, parts = _blocks(own, groups, distance)
+            if groups > 1 and own == 1 or own > 1 and len(edges) > 33:
+                continue
+            copies = sum(comb(len(p), own) for p in parts)
+            costs[own, groups] = copies * (1 + n * 0.375 ** (32 * own / (len(edges) - 1)) / 200)
+            least[own, groups] = min(sum(sorted(edges[b + 1] - edges[b] for b in p)[:own]) for p in parts if len(p) >= own)
+    fit = [k for k in costs if 4 * n * 0.5 ** least[k] <= 3 * heavy] or [k for k in costs if least[k] == max(least.values())]
+    return min(fit, key=lambda k: costs[k])
+
+
+def _blocks(own: int, groups: int, distance: int) -> tuple[list[int], list[range]]:
+    """The first segment of each block, with the end, and the blocks of each group: so many that, whichever `distance` blocks are
+    touched, some group has `own` untouched ones."""
+    k = distance + groups * (own - 1) + 1
+    return [32 * i // k for i in range(k + 1)], [range(k * g // groups, k * (g + 1) // groups) for g in range(groups)]
+
+
+def _cells(fps: DataFrame, own: int, groups: int, distance: int) -> tuple[DataFrame, list[int], list[int]]:
+    """x, e (embedding), grid (number), cell: a row for each grid. And the masks of blocks, and the bits of the blocks of each grid."""
+    edges, parts = _blocks(own, groups, distance)
     masks = [sum(3 << 2 * lane for lane in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
     grids, bits = [], []
-    for own in combinations(range(k), max(1, k - distance)):
-        mask = sum(masks[b] for b in own)
+    for blocks in (c for p in parts for c in combinations(p, own)):
+        mask = sum(masks[b] for b in blocks)
         grids.append(F.struct(F.lit(len(bits)).alias("grid"), F.col("e").bitwiseAND(F.lit(_signed(mask))).alias("cell")))
-        bits.append(sum(1 << b for b in own))
-    return fps.select("x", embedding(F.col("x")).alias("e")).select("x", F.inline(F.array(*grids))), masks, bits
+        bits.append(sum(1 << b for b in blocks))
+    return fps.select("x", embedding(F.col("x")).alias("e")).select("x", "e", F.inline(F.array(*grids))), masks, bits
+
+
+def _first(apart: Column, groups: int, masks: list[int], grids: list[int]) -> Column:
+    """Whether the grid is the first that holds a pair whose embeddings differ in these bits. Short code, as it's part of the join."""
+    same = lambda m: apart.bitwiseAND(F.lit(_signed(m))) == 0
+    if groups > 1:
+        number = F
+        for i, g in enumerate(grids):
+            number = number.when(same(sum(m for b, m in enumerate(masks) if g >> b & 1)), i)
+        return number == F.col("grid")
+    equal = sum((F.when(same(m), 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
+    own = F.element_at(F.array(*[F.lit(g) for g in grids]), F.col("grid") + 1)
+    upto = F.element_at(F.array(*[F.lit((1 << g.bit_length()) - 1) for g in grids]), F.col("grid") + 1)  # all blocks up to its last
+    return equal.bitwiseAND(upto) == own
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, heavy: int = HEAVY, n: int | None = None) -> DataFrame:
@@ -93,21 +124,16 @@ def links(fps: DataFrame, distance: int = DISTANCE, heavy: int = HEAVY, n: int |
     whose shared cells are small; for the others enough of them for the same components."""
     if distance % 2:
         raise ValueError("distance must be even")
-    k = max(blocks_for(fps.count() if n is None else n, distance), distance + 1)
-    cells, masks, grids = _cells(fps, k, distance)
+    own, groups = blocks_for(fps.count() if n is None else n, distance)
+    cells, masks, grids = _cells(fps, own, groups, distance)
     crowded = written(cells.groupBy("grid", "cell").count().where(F.col("count") > heavy).select("grid", "cell"), "crowded")
     none = crowded.isEmpty()
     rest = cells if none else cells.join(crowded, ["grid", "cell"], "left_anti")
-    side = lambda name: rest.select("grid", "cell", F.col("x").alias(name))
+    side = lambda name: rest.select("grid", "cell", F.col("x").alias(name), F.col("e").alias(f"e{name}"))
     pair = side("a").join(side("b"), ["grid", "cell"])  # one shuffle, read by both sides
-    a, b = F.col("a"), F.col("b")
-    ea, eb = embedding(a), embedding(b)
-    near = (a < b) & (manhattan(ea, eb) <= distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
-    apart = ea.bitwiseXOR(eb)
-    equal = sum((F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
-    own = F.element_at(F.array(*[F.lit(g) for g in grids]), F.col("grid") + 1)
-    upto = F.element_at(F.array(*[F.lit((1 << g.bit_length()) - 1) for g in grids]), F.col("grid") + 1)  # all blocks up to its last
-    found = pair.where(near).where(equal.bitwiseAND(upto) == own).select("a", "b")
+    a, b, apart = F.col("a"), F.col("b"), F.col("ea").bitwiseXOR(F.col("eb"))
+    near = (a < b) & (manhattan(F.col("ea"), F.col("eb")) <= distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
+    found = pair.where(near).where(_first(apart, groups, masks, grids)).select("a", "b")
     if none:
         return found
     # A pair may share a crowded cell as its first one and a small one later; here it's found by the crowded way in any case.
