@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 import regex
 
-from .common import Vocabulary, vocabulary
+from .common import Vocabulary, kept, vocabulary
 
 #: Fixed value: the published pre-token pattern of byte_bpe_50k.json; its library reads \s as White_Space.
 PRE_TOKEN = (
@@ -277,11 +277,9 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(of: Vocabulary) -> Encoder:
-    """One per worker process and vocabulary."""
-    if of.key not in _encoders:
-        _encoders[of.key] = Encoder(of)
-    return _encoders[of.key]
+    """One per worker process and vocabulary, until the process runs another operator."""
+    encoders = kept("bpe")
+    if of.key not in encoders:
+        encoders[of.key] = Encoder(of)
+    return encoders[of.key]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,42 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, 16 << 20)
 
 
+_kept: dict[str, dict] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # glibc has it
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in a worker process from batch to batch. Processes outlive stages, so what another operator kept goes."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system; the allocators hold on to it, in idle workers as well."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(owner: str) -> Callable:
+    """For the function of an Arrow UDF: its worker keeps nothing of other operators, and no free memory after a batch."""
+
+    def wrap(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def batch(*columns: pa.Array) -> pa.Array:
+            kept(owner)
+            try:
+                return f(*columns)
+            finally:
+                give_back()
+
+        return batch
+
+    return wrap
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that df doesn't have; Spark compares names without case."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let_go, pick, small_batches, written
+from .common import lean, let_go, pick, small_batches, written
 from .components import keep_best, roots
 from .simhash import majority, shingle_hashes
 
@@ -39,7 +39,7 @@ BANDS, ROWS = 32, 4
 SMALL = 16
 #: Members of a shingle that meet in one cell, on each side.
 HOT = 256
-CHUNK = 1 << 12
+CHUNK = 1 << 7
 #: Bits of a sketch (as many minima as the bands have, and as many more), and how many may differ: six deviations over the mean at 0.8.
 SKETCH, APART = 256, 54
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, SKETCH, 1), np.uint64)
@@ -74,6 +74,7 @@ def signature(text: Column) -> Column:
     longs = SKETCH // 64
 
     @F.arrow_udf("struct<x: long, n: long, f: long, bands: array<long>, sketch: array<long>>")
+    @lean("jaccard")
     def f(texts: pa.Array) -> pa.Array:
         xs, ns, fs, keys, sketches, offsets = [], [], [], [], [], [0]
         for t in texts.to_pylist():
@@ -98,11 +99,13 @@ def signature(text: Column) -> Column:
 
 
 @F.arrow_udf(T.BinaryType())
+@lean("jaccard")
 def _packed(texts: pa.Array) -> pa.Array:
     return pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
 @F.arrow_udf(T.LongType())
+@lean("jaccard")
 def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
     """Number of hashes that both sets hold."""
     sets = [[np.frombuffer(s.as_buffer(), np.uint64) for s in c] for c in (a, b)]
@@ -199,6 +202,7 @@ def _merged(own: DataFrame, links: DataFrame) -> DataFrame:
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
+@lean("jaccard")
 def _hashes(sets: pa.Array) -> pa.Array:
     """The hashes of packed sets, as signed longs."""
     flat = [np.frombuffer(s.as_buffer(), np.int64) for s in sets]

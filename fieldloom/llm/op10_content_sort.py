@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, partitions, pick, small_batches, squeezed
+from .common import col, give_back, kept, partitions, pick, small_batches, squeezed
 
 #: Bytes of a normalised text that take part in its range key, splitters sampled for each range, bytes combined on the map side.
 PREFIX, PER_RANGE, WINDOW = 64, 64, 24 << 20
@@ -65,6 +65,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     combined = T.StructType([*base.schema.fields, *extra])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("content sort")
         held: list[pa.RecordBatch] = []
         best: dict[bytes, list] = {}  # normalised text -> [order, number of batch, row, rows so far]
         size = 0
@@ -98,7 +99,10 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if size > WINDOW:
                 yield from flush()
                 held, best, size = [], {}, 0
+                give_back()
         yield from flush()
+        held, best, batch = [], {}, None
+        give_back()
 
     sorted_ = (
         base.mapInArrow(combine, combined)
@@ -113,6 +117,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["norm", "digest", "id", "chars", "n", *(["row"] if carry else [])]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("content sort")
         run = None  # of equal texts: norm, digest, order, id, rows, batch and place of the best row
 
         def out(closed: list[tuple]) -> pa.RecordBatch:
@@ -141,6 +146,8 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 run = (*run[:5], (b.column(5).take(pa.array([i], pa.int64())), 0))
         if run is not None:
             yield out([run])
+        run = batch = lists = None
+        give_back()
 
     return sorted_.select(*names).mapInArrow(compare, runs)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, pick, small_batches
+from .common import free_name, lean, pick, small_batches
 
 #: Production parameters. A repeat is a substring of at least MIN_WORDS words that the text holds twice or more (overlaps count).
 MIN_WORDS = 8
@@ -133,6 +133,7 @@ def repetition(text: Column, min_words: int = MIN_WORDS) -> Column:
     """struct of SCHEMA for a text column."""
 
     @F.arrow_udf(SCHEMA)
+    @lean("repetition")
     def f(texts: pa.Array) -> pa.Array:
         rows = measure(texts.to_pylist(), min_words)
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(_FIELDS))], _FIELDS)

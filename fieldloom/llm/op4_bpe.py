@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Vocabulary, pick, small_batches, vocabulary
+from .common import Vocabulary, lean, pick, small_batches, vocabulary
 
 
 def encode(text: Column, path: str | Vocabulary) -> Column:
@@ -20,6 +20,7 @@ def encode(text: Column, path: str | Vocabulary) -> Column:
     of = vocabulary(path)
 
     @F.arrow_udf("array<int>")
+    @lean("bpe")
     def ids(texts: pa.Array) -> pa.Array:
         return pa.array([list(chain.from_iterable(x)) for x in encoder(of).encode_each(texts.to_pylist())], pa.list_(pa.int32()))
 
@@ -32,6 +33,7 @@ def decode(ids: Column, path: str | Vocabulary) -> Column:
     of = vocabulary(path)
 
     @F.arrow_udf("string")
+    @lean("bpe")
     def text(rows: pa.Array) -> pa.Array:
         return pa.array([encoder(of).decode(x or ()) for x in rows.to_pylist()], pa.string())
 
@@ -45,6 +47,7 @@ def digests(text: Column, path: str | Vocabulary) -> Column:
     of = vocabulary(path)
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @lean("bpe")
     def f(texts: pa.Array) -> pa.Array:
         e = encoder(of)
         out = []

@@ -1,17 +1,23 @@
 """Operators across rows: dedup, near dedup, mixing, training order, link graph, chats, the pipeline."""
 
 import collections
+import ctypes
+import gc
 import hashlib
+import pathlib
 import random
 import re
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldloom.llm import jaccard, op2_training_order, op3_link_graph, op6_simhash, op8_chat, op9_mixing, op10_content_sort
-from fieldloom.llm.common import tokenizer_path
+from fieldloom.llm.bpe import encoder
+from fieldloom.llm.common import give_back, lean, tokenizer_path, vocabulary
 from fieldloom.llm.components import roots
 from fieldloom.llm.simhash import fingerprint
 
@@ -696,6 +702,37 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert len(left) < len(distinct) < len(good) < len(rows)
 
 
+def test_a_worker_keeps_the_caches_of_one_operator_only():
+    """Worker processes outlive the stages of the pipeline, and count as memory of their executor."""
+    of = vocabulary(tokenizer_path("byte_bpe_50k.json"))
+    first = weakref.ref(encoder(of))
+    assert first() is not None and encoder(of) is first()  # kept from batch to batch
+    assert jaccard._packed.func(pa.array(["a b c d e", None])).to_pylist() == [jaccard.shingles("a b c d e").tobytes(), b""]
+    gc.collect()
+    assert first() is None
+    assert encoder(of).encode("a b") == encoder(of).encode("a b")
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="glibc only")
+def test_a_worker_returns_its_free_memory():
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", pathlib.Path("/proc/self/status").read_text())[1]) / 1024
+
+    give_back()
+    before, peak = resident(), []
+
+    @lean("test")
+    def batch(column):
+        parts = [np.ones(12_000, np.uint8) for _ in range(8_000)]  # too small for maps of their own
+        kept["last"] = parts[-1]  # on top of the heap
+        peak.append(resident())
+        return column
+
+    kept = {}
+    assert batch(pa.array([1])).to_pylist() == [1]
+    assert peak[0] - before > 60 and resident() - before < 30
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame([(i, f"a{i} " * 3 + " ".join(f"w{i}{k}" for k in range(60)), "en", "s", 9) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "near dedup", "mixing", "bpe"]
