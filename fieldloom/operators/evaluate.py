@@ -139,6 +139,14 @@ def blanks(predictions: DataFrame) -> DataFrame:
     return predictions.select(value).agg(F.count("*").alias("campos"), F.count_if(F.col("valor") == "").alias("en_blanco"))
 
 
+def blanks_of_last(predictions: DataFrame) -> DataFrame:
+    """blanks() of the last prediction for each document. Records are counted before they are dealt out, so that counts are sorted, not maps."""
+    values = F.map_values("campos")
+    each = predictions.select("id_documento", "ord", F.size(values).alias("n"), F.size(F.filter(values, lambda v: v == "")).alias("blank"))
+    total = lambda c: F.coalesce(F.sum(F.greatest(F.col(c), F.lit(0))), F.lit(0))
+    return last_wins(each).agg(total("n").alias("campos"), total("blank").alias("en_blanco"))
+
+
 def methods(predictions: DataFrame) -> DataFrame:
     """metodo, documentos, segundos, media."""
     return predictions.groupBy("metodo").agg(F.count("*").alias("documentos"), F.sum("segundos").alias("segundos"), F.avg("segundos").alias("media"))

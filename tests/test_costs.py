@@ -1,15 +1,21 @@
 """Short cuts that save time give what the long way gives."""
 
+import os
 import random
 import re
 import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+
 from fieldloom.functions import identifiers, text
-from fieldloom.operators import extract
+from fieldloom.operators import evaluate, extract
 from fieldloom.sources import pdf
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_letters_as_classes_are_folded_letters(spark):
     chars = spark.createDataFrame([(chr(i),) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000], "c string")
@@ -57,3 +63,23 @@ def test_lines_like_textwrap():
         assert pdf.broken(t) == textwrap.wrap(t, pdf.WIDTH, break_long_words=False, break_on_hyphens=False)
     hard = r"a (b) \c \(d\) é"
     assert pdf.read(pdf.write(hard)) == [hard]
+
+
+def test_blanks_of_the_last_prediction(spark):
+    rows = [(1, "a", {"x": "", "y": ""}), (2, "a", {"x": "", "y": "1", "z": None}), (1, "b", {"x": "2"}), (2, "b", None), (1, "c", {})]
+    rows = spark.createDataFrame(rows, "ord long, id_documento string, campos map<string, string>")
+    for some in (rows, rows.where("id_documento = 'b'"), rows.where("ord > 9")):
+        got, want = evaluate.blanks_of_last(some), evaluate.blanks(evaluate.last_wins(some))
+        assert got.collect() == want.collect() and got.dtypes == want.dtypes
+
+
+def test_no_maps_are_sorted_for_one_value(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("the driver's tables are not here")
+    for name in ("last_wins_dedupe", "blank_field_count"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan()
+        windows = [plan]
+        while windows and windows[0].nodeName() != "Window":
+            n = windows.pop(0)
+            windows += [n.children().apply(k) for k in range(n.children().size())]
+        assert "MapType" not in windows[0].schema().toString() and "campos:map" not in windows[0].schema().simpleString()
