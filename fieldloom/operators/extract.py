@@ -224,7 +224,8 @@ def extract(docs: DataFrame, text_col: str = "texto", fields: tuple[str, ...] =
 
 def campos(fields: tuple[str, ...] = FIELDS) -> Column:
     """The fields as the map of a record: text, empty for what wasn't read."""
-    return F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))
+    # Of create_map Spark takes single values out, so that a query which asks for some fields doesn't pay for the others.
+    return F.create_map(*[c for f in fields for c in (F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("")))])
 
 
 NATIVE = "nativo"

@@ -83,3 +83,13 @@ def test_no_maps_are_sorted_for_one_value(spark):
             n = windows.pop(0)
             windows += [n.children().apply(k) for k in range(n.children().size())]
         assert "MapType" not in windows[0].schema().toString() and "campos:map" not in windows[0].schema().simpleString()
+
+
+def test_fields_that_a_query_does_not_ask_for_are_not_searched(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("the driver's tables are not here")
+    plan = entry.queries()["prediction_records"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    rows = spark.createDataFrame([(1, "a", "plazo 12 meses"), (2, "b", None)], "ord long, id_documento string, texto string")
+    got = extract.predictions(rows).orderBy("ord").collect()
+    assert all(set(r.campos) == set(extract.FIELDS) for r in got) and [r.campos["plazo_meses"] for r in got] == ["12", ""]
