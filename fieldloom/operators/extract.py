@@ -1,7 +1,8 @@
 """Field extraction from plain text.
 
 A vocabulary says what stands before a field's value and what ends it; shapes say what a value looks like; patterns are composed of
-both. A field compiles to one expression, so that extraction is a projection: no shuffle, no Python.
+both. A field compiles to one expression, so that extraction is a projection without a shuffle. extract() has candidates found by
+leaps.py first; where it gives none, for texts of an unusual alphabet, the patterns are applied in full.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import leaps
 from ..functions import dates, identifiers, numbers, text
 from ..functions.identifiers import let
 from ..schema import FIELD_TYPES, FIELDS, OWN, RUT_CONTEXT
@@ -151,6 +154,41 @@ RULES = {
 
 #: A tax number in running text: seven digits or more, or groups of three after the first group, then a dash and the check sign.
 RUT_TOKEN = r"(?U)(?=\d)(?<!\w)(?:\d{7,9}|\d{1,3}(?:[.\s]\d{3}){1,3})\s*[—-]\s*[\dKk](?!\w)"
+#: Its longest body and a blank.
+RUT_LONGEST = 16
+
+
+def _finders() -> dict[str, leaps.Finder]:
+    """The finder of each pattern, named by field and number."""
+    out = {}
+    for name, rule in RULES.items():
+        if name in SENTENCES:
+            made = [leaps.from_words(rule.patterns[0], LABELS[name]), leaps.from_words(rule.patterns[1], SENTENCES[name][0])]
+        elif rule.canon is dates.parse_date:
+            made = [leaps.behind_words(shape, LABELS[name]) for shape in (DAY, DAY_IN_WORDS)]
+        elif name == "plazo_meses":
+            made = [leaps.number_before(MONTHS, "meses")]
+        else:
+            made = [leaps.from_words(p, words) for p, words in zip(rule.patterns, (LABELS[name], ("pesos",)))]
+        out |= {_finder(name, k): f for k, f in enumerate(made)}
+    tokens = leaps.tokens_by_dash(RUT_TOKEN.removeprefix(_FLAGS), RUT_LONGEST)
+    return out | {"ruts": leaps.by_context(tokens, RUT_CONTEXT, {"person": _hint(PERSON_HINTS), "company": _hint(COMPANY_HINTS)})}
+
+
+def _finder(name: str, k: int) -> str:
+    return f"{name}_{k}"
+
+
+_TEXTS = T.ArrayType(T.StringType())
+_TOKENS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("token", T.StringType())]))
+
+
+def found(x: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """struct of candidates by pattern, and ruts, of a collapsed text as leaps.py finds them."""
+    names = [_finder(f, k) for f in fields if f in RULES for k in range(len(RULES[f].patterns))]
+    wanted = {n: _TEXTS for n in names} | ({"ruts": _TOKENS} if set(fields) - set(RULES) else {})
+    made = _finders()
+    return leaps.finder(x, {n: (made[n], kind) for n, kind in wanted.items()}, leaps.folding(letter))
 
 
 def candidates(x: Column, patterns: tuple[str, ...]) -> Column:
@@ -199,9 +237,9 @@ def ruts_of(tokens: Column, kind: str) -> Column:
     return F.transform(F.filter(tokens, lambda p: p["kind"] == kind), lambda p: p["token"])
 
 
-def field(name: str, x: Column, ruts: Column | None = None, repair: Column | bool = False) -> Column:
+def field(name: str, x: Column, ruts: Column | None = None, repair: Column | bool = False, leapt: Column | None = None) -> Column:
     """One field of a collapsed text, null if it isn't found. repair: whether a text was recognised, so that letters that recognition
-    puts for digits of a tax number are read as those."""
+    puts for digits of a tax number are read as those. leapt: what found() gives for the text."""
     if name in ("rut_empresa", "rut_representante"):
         found = ruts_of(rut_tokens(x) if ruts is None else ruts, "company" if name == "rut_empresa" else "person")
         read = lambda fix: choose(found, lambda v: identifiers.checked_rut(v, fix), OWN[name])
@@ -209,17 +247,21 @@ def field(name: str, x: Column, ruts: Column | None = None, repair: Column | boo
     rule = RULES[name]
     own = OWN[name] if rule.own else None
     # Pattern by pattern: a text is searched for the next one only if none of this one's candidates will do.
-    return F.coalesce(*[choose(candidates(x, (p,)), rule.canon, own) for p in rule.patterns]).cast(FIELD_TYPES[name])
+    tried = [candidates(x, (p,)) for p in rule.patterns]
+    if leapt is not None:
+        tried = [F.coalesce(leapt[_finder(name, k)], c) for k, c in enumerate(tried)]
+    return F.coalesce(*[choose(c, rule.canon, own) for c in tried]).cast(FIELD_TYPES[name])
 
 
 def extract(docs: DataFrame, text_col: str = "texto", fields: tuple[str, ...] = FIELDS, repair: Column | bool = False) -> DataFrame:
     """docs with a typed column for each field (null: not read). The text is collapsed first, as every source does; classified
     tax numbers are computed once."""
-    x, ruts = "_collapsed", "_ruts"
+    x, ruts, leapt = "_collapsed", "_ruts", "_found"
     out = docs.withColumn(x, text.collapse(F.col(text_col)))
+    out = out.withColumn(leapt, found(F.col(x), fields))
     if {"rut_empresa", "rut_representante"} & set(fields):
-        out = out.withColumn(ruts, rut_tokens(F.col(x)))
-    return out.withColumns({f: field(f, F.col(x), F.col(ruts), repair) for f in fields}).drop(x, ruts)
+        out = out.withColumn(ruts, F.coalesce(F.col(leapt)["ruts"], rut_tokens(F.col(x))))
+    return out.withColumns({f: field(f, F.col(x), F.col(ruts), repair, F.col(leapt)) for f in fields}).drop(x, ruts, leapt)
 
 
 def campos(fields: tuple[str, ...] = FIELDS) -> Column:
@@ -231,14 +273,14 @@ def campos(fields: tuple[str, ...] = FIELDS) -> Column:
 NATIVE = "nativo"
 
 
-def predictions(docs: DataFrame, text_col: str = "texto", metodo: str = NATIVE) -> DataFrame:
+def predictions(docs: DataFrame, text_col: str = "texto", metodo: str = NATIVE, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """docs (ord, id_documento, texto, and where they are known path, metodo, segundos) -> prediction records. Texts that weren't
-    embedded in their file are read with repair. segundos is what the source took, 0 if it wasn't measured: extraction itself is
+    embedded in their file are read with repair. A query that needs some fields names them, and others aren't searched. segundos is what the source took, 0 if it wasn't measured: extraction itself is
     part of one plan and has no time of its own."""
     optional = {"metodo": F.lit(metodo), "path": F.concat("id_documento", F.lit(".pdf")), "segundos": F.lit(0.0)}
     rows = docs.select("ord", "id_documento", text_col, *[(F.col(c) if c in docs.columns else v).alias(c) for c, v in optional.items()])
-    read = extract(rows, text_col, repair=F.col("metodo") != NATIVE if "metodo" in docs.columns else metodo != NATIVE)
+    read = extract(rows, text_col, fields, F.col("metodo") != NATIVE if "metodo" in docs.columns else metodo != NATIVE)
     return read.select(
         "ord", "id_documento", F.substring_index("path", "/", -1).alias("origen"), "metodo", F.round("segundos", 4).alias("segundos"),
-        F.length(text.collapse(F.col(text_col))).alias("caracteres"), campos().alias("campos"),
+        F.length(text.collapse(F.col(text_col))).alias("caracteres"), campos(fields).alias("campos"),
     )
