@@ -11,6 +11,10 @@ from ..functions.draws import draw as drawn_number
 from ..functions.identifiers import check_digit, format_rut
 
 
+#: So that the last task to end is a small share of the work.
+TASKS_A_CORE = 4
+
+
 def pick(words: tuple[str, ...] | str, nth: Column) -> Column:
     return F.get(F.array(*[F.lit(w) for w in words]), (nth % len(words)).cast("int"))
 
@@ -70,11 +74,10 @@ def contracts(keys: DataFrame) -> DataFrame:
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One contract per order. A contract costs far more than its 16 bytes of key, so keys of a few large splits are dealt out
-    first; a table with a split for every core is read as it is."""
+    """One contract per order. A contract costs far more than its 16 bytes of key, so keys are dealt out evenly first: splits of a file
+    hold whole row groups, many or none."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("c"))
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows.repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
 
 
 def drawn(spark: SparkSession, n: int, seed: int, layout: str | None = None, profile: str = S.NO_PROFILE) -> DataFrame:
