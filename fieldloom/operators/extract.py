@@ -191,6 +191,17 @@ def found(x: Column, fields: tuple[str, ...] = FIELDS) -> Column:
     return leaps.finder(x, {n: (made[n], kind) for n, kind in wanted.items()}, leaps.folding(letter))
 
 
+def tokens_found(x: Column, leapt: Column) -> Column:
+    """rut_tokens() of a text by what found() gives for it."""
+    return F.coalesce(leapt["ruts"], rut_tokens(x))
+
+
+def candidates_found(name: str, x: Column, leapt: Column) -> Column:
+    """candidates() of all patterns of a field by what found() gives for the text."""
+    patterns = RULES[name].patterns
+    return F.coalesce(F.array_distinct(F.concat(*[leapt[_finder(name, k)] for k in range(len(patterns))])), candidates(x, patterns))
+
+
 def candidates(x: Column, patterns: tuple[str, ...]) -> Column:
     """Everything the patterns capture, pattern by pattern, first occurrences only."""
     found = [F.regexp_extract_all(x, F.lit(_FLAGS + p), F.lit(1)) for p in patterns]
@@ -260,7 +271,7 @@ def extract(docs: DataFrame, text_col: str = "texto", fields: tuple[str, ...] =
     out = docs.withColumn(x, text.collapse(F.col(text_col)))
     out = out.withColumn(leapt, found(F.col(x), fields))
     if {"rut_empresa", "rut_representante"} & set(fields):
-        out = out.withColumn(ruts, F.coalesce(F.col(leapt)["ruts"], rut_tokens(F.col(x))))
+        out = out.withColumn(ruts, tokens_found(F.col(x), F.col(leapt)))
     return out.withColumns({f: field(f, F.col(x), F.col(ruts), repair, F.col(leapt)) for f in fields}).drop(x, ruts, leapt)
 
 
