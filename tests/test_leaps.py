@@ -13,6 +13,7 @@ from fieldloom import schema as S
 from fieldloom.functions import text
 from fieldloom.operators import extract, leaps
 from fieldloom.plans import predicted, render, synth
+from fieldloom.sources import documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,7 +72,25 @@ def test_whole_records_of_unusual_texts(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-def test_patterns_stand_behind_the_finders(spark):
-    for name in ("extract_all", "native_accuracy_by_layout", "prediction_records_ocr", "extract_ppu"):
+def test_queries_use_the_finders(spark):
+    for name in ("extract_all", "native_accuracy_by_layout", "prediction_records_ocr", "extract_ppu", "classify_ruts", "candidates_ordered"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-        assert "ArrowEvalPython" in plan and "coalesce(pythonUDF" in plan
+        assert "ArrowEvalPython" in plan, name
+
+
+def test_engines_are_checked_in_one_job(spark, monkeypatch):
+    """Not in a few tasks first, then in more."""
+    monkeypatch.setattr(documents, "_readers", {})
+    documents.register("nativo", lambda b: [b.decode()])
+    group = "engines-checked"
+    files = spark.range(64).repartition(16).select(F.concat(F.lit("in/"), "id", F.lit(".pdf")).alias("path"), F.repeat(F.lit("a"), 300).cast("binary").alias("content"))
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = documents.read(files)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds]
+        assert [s.numTasks for s in stages if s.numTasks == 16], stages
+        assert not [s for s in stages if s.numTasks == 4 and s.numCompletedTasks == 4 and s.name.startswith("isEmpty")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.count() == 64
