@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, similarity
@@ -30,22 +30,83 @@ def unpivot(records: DataFrame, column: str = "campos", value: str = "valor") ->
     return rows.withColumn(value, F.coalesce(F.try_element_at(column, F.col("campo")), F.lit(""))).drop(column)
 
 
-def compare(truth: DataFrame, predictions: DataFrame, with_similarity: bool = True) -> DataFrame:
-    """One row per record of truth and field (schema COMPARISON). Documents without a prediction count as not read; predictions
-    without truth are passed over. Similarity runs in Python on wrong values only."""
-    got = last_wins(predictions.select("ord", "id_documento", "campos")).select("id_documento", F.col("campos").alias("leidos"))
-    rows = truth.select("ord", "id_documento", "campos").join(got, "id_documento", "left")
-    rows = rows.select("ord", "id_documento", F.posexplode(F.array(*map(F.lit, FIELDS))).alias("ord_campo", "campo"), "campos", "leidos")
-    value = lambda m: collapse(F.try_element_at(m, F.col("campo")))
-    rows = rows.select("ord", "id_documento", "ord_campo", "campo", value("campos").alias("esperado"), value("leidos").alias("obtenido"))
-    rows = rows.withColumn("estado", state(F.col("esperado"), F.col("obtenido")))
-    if not with_similarity:
-        return rows.withColumn("similitud", F.lit(None).cast("double"))
+def paired(truth: DataFrame, predictions: DataFrame, *more: str) -> DataFrame:
+    """A row per record of truth: ord, id_documento, more (columns of truth), the values on both sides in field order (esperados,
+    obtenidos; null where there is none) and whether there is a prediction (hay). Values are taken out of their maps first, so that rows
+    are dealt out and sorted without the names of the fields."""
+    names, campos = F.array(*map(F.lit, FIELDS)), F.col("campos")
+    values = F.when(F.map_keys(campos) == names, F.map_values(campos)).otherwise(F.transform(names, lambda f: F.try_element_at(campos, f)))
+    got = last_wins(predictions.select("ord", "id_documento", values.alias("obtenidos"))).select("id_documento", "obtenidos", F.lit(True).alias("hay"))
+    rows = truth.select("ord", "id_documento", *more, values.alias("esperados")).join(got, "id_documento", "left")
+    return rows.withColumn("hay", F.coalesce("hay", F.lit(False)))
+
+
+def _right(expected: Column, got: Column) -> Column:
+    """Whether values are equal when collapsed; those that are equal as they are need not be."""
+    return F.when(expected.eqNullSafe(got), F.lit(True)).otherwise(collapse(expected) == collapse(got))
+
+
+def with_similarity_of(rows: DataFrame) -> DataFrame:
+    """Similarity (similitud) in Python, on wrong values only."""
     wrong = F.col("estado") == "incorrecto"
     ratio = similarity(F.when(wrong, F.col("esperado")), F.when(wrong, F.col("obtenido")))
     return rows.withColumn("ratio", ratio).withColumn("similitud", F.coalesce("ratio", F.when(F.col("estado") == "correcto", 1.0).otherwise(0.0))).drop("ratio")
 
 
+def compare(truth: DataFrame, predictions: DataFrame, with_similarity: bool = True) -> DataFrame:
+    """One row per record of truth and field (schema COMPARISON). Documents without a prediction count as not read; predictions
+    without truth are passed over. Similarity runs in Python on wrong values only."""
+    rows = paired(truth, predictions).select("ord", "id_documento", F.posexplode(F.array(*map(F.lit, FIELDS))).alias("ord_campo", "campo"), "esperados", "obtenidos")
+    rows = rows.select("ord", "id_documento", "ord_campo", "campo", F.get("esperados", F.col("ord_campo")).alias("e"), F.get("obtenidos", F.col("ord_campo")).alias("o"))
+    e, o = F.col("e"), F.col("o")
+    found = F.when(_right(e, o), "correcto").otherwise(state(collapse(e), collapse(o)))
+    rows = rows.select("ord", "id_documento", "ord_campo", "campo", collapse(e).alias("esperado"), collapse(o).alias("obtenido"), found.alias("estado"))
+    return with_similarity_of(rows) if with_similarity else rows.withColumn("similitud", F.lit(None).cast("double"))
+
+
+def packed(truth: DataFrame, predictions: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """What compare finds (without similarity), as one row per record of truth that holds no values but those that aren't right: ord,
+    id_documento, hay, the dimensions of the document's last record, fallas (the rows of compare that aren't right), propios (the fields that
+    returned the own party's value); entero (all records of the document are right in every field) and primero (true once a document)."""
+    nth = lambda side, n: F.get(side, n)
+    unlike = F.filter(F.array(*map(F.lit, range(len(FIELDS)))), lambda n: ~nth("esperados", n).eqNullSafe(nth("obtenidos", n)))
+    names = F.array(*map(F.lit, FIELDS))
+    row = lambda n: F.struct(n.alias("ord_campo"), F.get(names, n).alias("campo"), collapse(nth("esperados", n)).alias("esperado"), collapse(nth("obtenidos", n)).alias("obtenido"))
+    wrong = F.filter(F.transform(unlike, row), lambda r: r["esperado"] != r["obtenido"])
+    own = F.array(*[F.struct(F.lit(FIELDS.index(f)).alias("n"), F.lit(f).alias("campo"), F.lit(v).alias("valor"), F.lit(v.split()[0]).alias("palabra")) for f, v in OWN.items()])
+    hit = lambda o: nth("obtenidos", o["n"]).contains(o["palabra"]) & (collapse(nth("obtenidos", o["n"])) == o["valor"])
+    rows = paired(truth, predictions, *dimensions).select("ord", "id_documento", "hay", *dimensions, wrong.alias("fallas"), F.filter(own, hit)["campo"].alias("propios"))
+    same = Window.partitionBy("id_documento").orderBy("id_documento")  # rows come from the join in this order
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select(
+        "ord", "id_documento", "hay", "fallas", "propios", F.max(F.struct("ord", *dimensions)).over(whole).alias("_last"),
+        F.bool_and(F.size("fallas") == 0).over(whole).alias("entero"), (F.row_number().over(same) == 1).alias("primero"),
+    )
+    value = lambda d: F.coalesce(F.when(F.col("id_documento").isNotNull(), F.col("_last")[d].cast("string")), F.lit(UNKNOWN))
+    return rows.select("*", *[value(d).alias(d) for d in dimensions]).drop("_last")
+
+
+def failed(packs: DataFrame, *more: str) -> DataFrame:
+    """The rows of compare that aren't right, without similarity; and other columns of packs."""
+    rows = packs.select("ord", "id_documento", *more, F.inline("fallas"))
+    return rows.withColumn("estado", state(F.col("esperado"), F.col("obtenido"))).withColumn("similitud", F.lit(None).cast("double"))
+
+
+def counted(packs: DataFrame, dimensions: tuple[str, ...], with_similarity: bool) -> DataFrame:
+    """The accumulators of every metric by field and dimensions: what isn't right is counted, the rest of the documents is."""
+    bad = failed(packs, *dimensions)
+    bad = (with_similarity_of(bad) if with_similarity else bad).groupBy("campo", *dimensions).agg(*counts()).drop("total", "correctos")
+    rows = packs.groupBy(*dimensions).agg(F.count("*").alias("total")).crossJoin(F.broadcast(_fields(packs.sparkSession))).join(bad, ["campo", *dimensions], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("incorrectos", "omitidos")}).withColumn("correctos", F.col("total") - F.col("incorrectos") - F.col("omitidos"))
+    return rows.withColumn("suma", F.coalesce("suma", F.lit(0.0)) + (F.col("correctos").cast("double") if with_similarity else F.lit(0.0)))
+
+
+def added(found: DataFrame, *by: str) -> DataFrame:
+    """Metrics from counted, by the values of columns; by field all fields in order."""
+    rows = found.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "correctos", "incorrectos", "omitidos")], F.coalesce(F.sum("suma"), F.lit(0.0)).alias("suma"))
+    return _of_fields(rows) if by == ("campo",) else _rates(rows)
+
+
 def _rates(rows: DataFrame) -> DataFrame:
     """Counts to rates; an empty group has rates of zero."""
     share = lambda c: F.coalesce(F.col(c) / F.expr("nullif(total, 0)"), F.lit(0.0))
@@ -62,18 +123,32 @@ def summary(results: DataFrame) -> DataFrame:
     return _rates(results.agg(*counts()))
 
 
+def _fields(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(FIELDS)), "ord_campo int, campo string")
+
+
 def by_field(results: DataFrame) -> DataFrame:
     """All fields in order, also those without rows."""
-    fields = results.sparkSession.createDataFrame(list(enumerate(FIELDS)), "ord_campo int, campo string")
-    found = results.groupBy("campo").agg(*counts())
+    return _of_fields(results.groupBy("campo").agg(*counts()))
+
+
+def _of_fields(found: DataFrame) -> DataFrame:
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("total", "correctos", "incorrectos", "omitidos")} | {"suma": F.coalesce("suma", F.lit(0.0))}
-    return _rates(fields.join(found, "campo", "left").withColumns(zero))
+    return _rates(_fields(found.sparkSession).join(found, "campo", "left").withColumns(zero))
 
 
 def by_document(results: DataFrame) -> DataFrame:
     """documentos, completos (every field right), exactitud."""
-    whole = results.groupBy("id_documento").agg(F.bool_and(F.col("estado") == "correcto").alias("whole"))
-    out = whole.agg(F.count("*").alias("documentos"), F.count_if("whole").alias("completos"))
+    return _whole(results.groupBy("id_documento").agg(F.bool_and(F.col("estado") == "correcto").alias("entero")))
+
+
+def by_document_of(packs: DataFrame) -> DataFrame:
+    """The same from packed."""
+    return _whole(packs.where("primero"))
+
+
+def _whole(documents: DataFrame) -> DataFrame:
+    out = documents.agg(F.count("*").alias("documentos"), F.count_if("entero").alias("completos"))
     return out.withColumn("exactitud", F.coalesce(F.col("completos") / F.expr("nullif(documentos, 0)"), F.lit(0.0)))
 
 

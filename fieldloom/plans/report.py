@@ -29,10 +29,42 @@ def gather(results: DataFrame, truth: DataFrame, predictions: DataFrame) -> dict
         "own": evaluate.own_party_ranked(results).orderBy("nth").drop("nth").collect(),
         "own_total": evaluate.own_party_total(results).first()[0],
         "worst": worst,
-        "examples": failed.orderBy("campo", "nth").withColumns({c: ellipsis(F.col(c)) for c in ("esperado", "obtenido")}).collect() if failed is not None else [],
+        "examples": _shown(failed) if failed is not None else [],
     }
 
 
+def measure(truth: DataFrame, predictions: DataFrame, with_similarity: bool = True) -> dict:
+    """What gather finds, without a row for each value: records are joined once, and a row of each keeps the values that aren't right.
+    Everything is counted from these rows."""
+    packs = evaluate.packed(truth, predictions, DIMENSIONS).cache()
+    counts = evaluate.counted(packs, DIMENSIONS, with_similarity).cache()
+    try:
+        lacking = packs.where(~F.col("hay"))
+        fields = evaluate.added(counts, "campo").orderBy("ord_campo").collect()
+        worst = sorted((r for r in fields if r.exactitud < 1), key=lambda r: r.exactitud)[:WORST]  # ties stay in field order
+        failed = evaluate.failures(evaluate.failed(packs).where(F.col("campo").isin([r.campo for r in worst])), EXAMPLES) if worst else None
+        own = packs.select(F.explode("propios").alias("campo")).groupBy("campo").agg(F.count("*").alias("cantidad")).orderBy(F.desc("cantidad"), "campo").collect()
+        return {
+            "summary": evaluate.added(counts).first(),
+            "documents": evaluate.by_document_of(packs).first(),
+            "missing": (lacking.count(), [r.id_documento for r in evaluate.first_ids(lacking, NAMED).collect()]),
+            "fields": [Row(**{k: v for k, v in r.asDict().items() if k != "ord_campo"}) for r in fields],
+            "dimensions": {d: evaluate.added(counts, d).orderBy(d).collect() for d in DIMENSIONS},
+            "own": own,
+            "own_total": sum(r.cantidad for r in own),
+            "worst": worst,
+            "examples": _shown(evaluate.with_similarity_of(failed) if with_similarity else failed) if worst else [],
+        }
+    finally:
+        counts.unpersist()
+        packs.unpersist()
+
+
+def _shown(failed: DataFrame) -> list[Row]:
+    """Failures with values short enough to be printed."""
+    return failed.orderBy("campo", "nth").withColumns({c: ellipsis(F.col(c)) for c in ("esperado", "obtenido")}).collect()
+
+
 def _table(head: str, rows: list[Row]) -> list[str]:
     """A Markdown table of rates by the values of a column."""
     out = [f"| {head} | {' | '.join(n for n, _ in _RATES)} | values |", "|-|-|-|-|-|"]

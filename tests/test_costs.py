@@ -100,3 +100,17 @@ def test_candidates_are_searched_once_for_both_choices(spark):
         pytest.skip("the driver's tables are not here")
     plan = entry.queries()["first_non_own"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == len(extract.RULES["giro"].patterns)
+
+
+def test_metrics_need_no_row_for_each_value(spark, monkeypatch):
+    if not os.path.isdir(SF):
+        pytest.skip("the driver's tables are not here")
+
+    def never(*_, **__):
+        raise AssertionError("a row for each value")
+
+    monkeypatch.setattr(evaluate, "compare", never)
+    kept = spark._jsc.getPersistentRDDs().size()
+    n = spark.read.parquet(f"{SF}/orders.parquet")
+    assert entry.queries()["metrics_json"](spark, SF).first() == (15 * n.count(), n.where("(o_orderkey + 1) % 13 = 0").count())
+    assert spark._jsc.getPersistentRDDs().size() == kept

@@ -116,6 +116,31 @@ def test_report_and_json(spark, tmp_path):
     assert records.read_results(spark, f"{tmp_path}/r/resultados").count() == 600
 
 
+def _odd(spark):
+    """Documents with two records, without an id, without values, with fields in another order, and predictions of all sorts."""
+    turned = dict(reversed(PERFECT.items()))
+    rows = [(i, f"SINT-{i:04d}", ["formal", "tabular", None][i % 3], ["limpio", "medio"][i % 2], PERFECT if i % 4 else turned) for i in range(1, 25)]
+    rows += [(30, "SINT-0003", "compacta", None, PERFECT | {"ppu": "otra"}), (31, None, "formal", "medio", PERFECT), (32, None, "formal", "medio", {}), (33, "SINT-0033", "formal", "medio", None)]
+    truth_ = spark.createDataFrame(rows, "ord long, id_documento string, plantilla string, perfil_escaneo string, campos map<string, string>")
+    own = S.OWN["razon_social"].replace(" ", " \t ")
+    changes = {2: {"giro": ""}, 3: {"razon_social": own}, 4: {"ppu": " YWXT31\n", "modelo": None}, 5: {"rut_empresa": S.OWN["rut_empresa"]}, 6: {"giro": "x", "ano": "2018"}, 8: {"razon_social": own}}
+    got = [(i, f"SINT-{i:04d}", (turned if i % 5 == 0 else PERFECT) | changes.get(i, {})) for i in range(1, 20)]
+    got += [(0, "SINT-0002", {"ppu": "?"}), (50, "SINT-0007", {"ppu": "?", "otro": "x"}), (51, "SINT-0009", None), (52, None, PERFECT), (53, "SINT-9999", PERFECT), (54, "SINT-0033", {})]
+    return truth_, spark.createDataFrame(got, "ord long, id_documento string, campos map<string, string>")
+
+
+@pytest.mark.parametrize("with_similarity", [True, False])
+def test_measured_like_gathered(spark, with_similarity):
+    import json
+
+    truth_, got = _odd(spark)
+    for made in (truth_, truth_.where("ord > 99")):
+        long = report.gather(evaluate.compare(made, got, with_similarity).cache(), made, got)
+        short = report.measure(made, got, with_similarity)
+        assert json.loads(report.as_json(short), parse_float=lambda x: round(float(x), 9)) == json.loads(report.as_json(long), parse_float=lambda x: round(float(x), 9))
+        assert report.text(short) == report.text(long)
+
+
 def test_malformed_lines_are_errors(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"id_documento": "a", "campos": {}}\n\n{"id_documento": "b", \n')
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
